@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clausula.llm.common import table
-from clausula.llm import bpe, repetition
+from clausula.llm import bpe, repetition, ring, simhash
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe, op4_bounded_ring, op9_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
