@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clausula.llm.common import table
-from clausula.llm import bpe, repetition, ring, simhash
+from clausula.llm import bpe, budget, repetition, ring, simhash
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,20 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: The mix of op5: domains are the sources by their number modulo 4.
+DOMAIN_SQL = "'d' || try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4"
+WEIGHTS = ({"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}, {})
+
+
+def document_mix(budget_share: float = 0.6, max_epochs: int = 2) -> budget.Mix:
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int")
+    return budget.Mix(WEIGHTS, budget_share, max_epochs, domain=F.concat(F.lit("d"), (number % 4).cast("string")))
+
+
+def op5_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.mixture(table(spark, sf_dir, "documents"), document_mix())
+
+
 def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -28,8 +43,8 @@ def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe, op4_bounded_ring, op9_simhash_anchors)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op9_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_hierarchical_mix": budget.mixture_sql("documents", DOMAIN_SQL, document_mix())}
