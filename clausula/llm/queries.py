@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausula.llm.common import table
-from clausula.llm import bpe, budget, repetition, ring, simhash
+from clausula.llm import arc, bpe, budget, repetition, ring, simhash
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: What the archives give back, from the pages alone.
+OP10_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m"""
+
 #: The mix of op5: domains are the sources by their number modulo 4.
 DOMAIN_SQL = "'d' || try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4"
 WEIGHTS = ({"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}, {})
@@ -42,9 +50,16 @@ def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op9_simhash_anchors)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op9_simhash_anchors, op10_arc_converter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_hierarchical_mix": budget.mixture_sql("documents", DOMAIN_SQL, document_mix())}
+    return {
+        "op5_hierarchical_mix": budget.mixture_sql("documents", DOMAIN_SQL, document_mix()),
+        "op10_arc_converter": OP10_SQL,
+    }
