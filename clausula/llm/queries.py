@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausula.llm.common import table
-from clausula.llm import arc, bpe, budget, repetition, ring, simhash
+from clausula.llm import arc, bpe, budget, repetition, ring, simhash, tokenstore
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_mph_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op9_simhash_anchors, op10_arc_converter)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op7_mph_token_store, op9_simhash_anchors, op10_arc_converter)}
 
 
 def oracle_sql() -> dict[str, str]:
