@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausula.llm.common import table
-from clausula.llm import arc, bpe, budget, repetition, ring, simhash, tokenstore
+from clausula.llm import arc, bpe, budget, ivfpq, repetition, ring, simhash, tokenstore
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -59,7 +63,7 @@ def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op7_mph_token_store, op9_simhash_anchors, op10_arc_converter)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op2_ivf_pq, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op7_mph_token_store, op9_simhash_anchors, op10_arc_converter)}
 
 
 def oracle_sql() -> dict[str, str]:
