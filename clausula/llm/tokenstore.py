@@ -8,9 +8,9 @@ is the number of set bits before), and by slot a 32-bit fingerprint of the key,
 one index file, a few bit tests, one fingerprint comparison and one ranged read. The manifest names the files and how
 many ids come before each. Files get their names by a rename, after they are whole, so a task that runs again is harmless.
 
-Words between ASCII white space are encoded apart and remembered (`cache_words` for each Python worker): the
-tokenizer's own splitting never crosses white space, so the ids are those of the whole text. `encoder(..., words=False)`
-encodes texts whole, for tokenizers of another kind.
+Words between ASCII white space are encoded apart and remembered (about `cache_words` for each Python worker): the
+tokenizer's own splitting never crosses white space, so the ids are those of the whole text. This suits tokenizers whose
+lower-casing, pattern and word ends are those of the file used here; `words=False` encodes texts whole, for any other.
 
 Defined results: null text: as empty, so the end id alone; bytes that are not UTF-8 become U+FFFD; a null id sorts first;
 rows of equal ids are kept as their 1st, 2nd, ... occurrence, ordered by a hash of the text. Empty table: no rows.
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -53,33 +55,89 @@ class _Numbers(dict):
         return number
 
 
+class _Rows:
+    """Rows of ids of different lengths, one after the other."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(ids)
+
+    def joined(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some rows in a row, and the edges between them."""
+        sizes = self.sizes[rows]
+        ends = np.r_[0, np.cumsum(sizes)]
+        return self.flat[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class WordEncoder:
-    """Ids of many texts at once, by way of their distinct words."""
+    """Ids of many texts at once, by way of their distinct words and, for plain words, of these words' distinct pieces."""
+
+    #: Words of these characters alone are lower-cased and cut here, as the tokenizer file's own pattern does it; others are left to the tokenizer.
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+    WORD_END = "</w>"
 
-    def __init__(self, tokenizer_file: str, cache_words: int = 300_000, words: bool = True):
+    def __init__(self, tokenizer_file: str, cache_words: int = 250_000, words: bool = True):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.cache_words, self.words = cache_words, words
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.vocabulary = max(vocabulary.values()) + 1
+        self.specials = [str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
+        self.ends = np.zeros(self.vocabulary, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+        self.special_start = os.path.commonprefix(self.specials)
+        self.numbers, self.rows, self.row_of = _Numbers(), _Rows(), np.zeros(0, np.int64)
+        self.pieces, self.piece_rows = _Numbers(), _Rows()
+
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn_pieces(self) -> None:
+        """New pieces are encoded in one text, at white space; each ends with a token that ends a word."""
+        fresh, self.pieces.new = self.pieces.new, []
+        for i in range(0, len(fresh), 4096):
+            part = fresh[i : i + 4096]
+            ids = np.array(self._one(" ".join(part)), np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part) or last[-1] + 1 != len(ids):
+                rows = [self._one(p) for p in part]
+                ids, last = np.array([x for row in rows for x in row], np.uint32), np.cumsum([len(r) for r in rows]) - 1
+            self.piece_rows.add(ids, np.diff(np.r_[-1, last]))
 
     def _learn(self) -> None:
         fresh, self.numbers.new = self.numbers.new, []
-        for i in range(0, len(fresh), 8192):
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh[i : i + 8192]], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.flat[self.used : self.used + total] = np.fromiter((x for row in ids for x in row), np.uint32, total)
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.used += total
+        if not fresh:
+            return
+        cut: list[int] = []
+        counts: list[int] = []
+        odd: list[int] = []
+        number, plain, pieces = self.pieces.__getitem__, self.PLAIN.fullmatch, self.PIECE.findall
+        for i, word in enumerate(fresh):
+            text = word.decode("utf-8", "replace")
+            if plain(text) and (self.special_start not in text or not any(x in text for x in self.specials)):
+                found = pieces(text.lower())
+                cut += map(number, found)
+                counts.append(len(found))
+            else:
+                odd.append(i)
+        self._learn_pieces()
+        ids, ends = self.piece_rows.joined(np.array(cut, np.int64))
+        row = np.full(len(fresh), -1, np.int64)
+        base = len(self.rows.sizes)
+        row[odd] = base + len(counts) + np.arange(len(odd))
+        row[row < 0] = base + np.arange(len(counts))
+        self.rows.add(ids, np.diff(ends[np.r_[0, np.cumsum(counts, dtype=np.int64)]]))
+        found = [self._one(fresh[i].decode("utf-8", "replace")) for i in odd]
+        self.rows.add(np.array([x for ids in found for x in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+        self.row_of = np.concatenate([self.row_of, row])
 
     def encode(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and how many each text has."""
@@ -87,15 +145,17 @@ class WordEncoder:
             ids = [np.array(self.tokenizer.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids + [end_id] * (end_id is not None), np.uint32) for t in texts]
             return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.array([len(x) for x in ids], np.int64)
         if len(self.numbers) > self.cache_words:
-            self._forget()
-        split = [(t or b"").split() for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter((n for row in split for n in map(self.numbers.__getitem__, row)), np.int64, int(counts.sum()))
+            self.numbers, self.rows, self.row_of = _Numbers(), _Rows(), np.zeros(0, np.int64)
+        if len(self.pieces) > self.cache_words:
+            self.pieces, self.piece_rows = _Numbers(), _Rows()
+        numbers, counts = [], []
+        for text in texts:
+            words = (text or b"").split()
+            numbers.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+            counts.append(len(words))
         self._learn()
-        sizes = self.sizes[words]
-        ends = np.r_[0, np.cumsum(sizes)]
-        ids = self.flat[np.repeat(self.starts[words] - ends[:-1], sizes) + np.arange(ends[-1])]
-        edges = ends[np.r_[0, np.cumsum(counts)]]
+        ids, ends = self.rows.joined(self.row_of[np.concatenate(numbers) if numbers else np.zeros(0, np.int32)])
+        edges = ends[np.r_[0, np.cumsum(counts, dtype=np.int64)]]
         lengths = np.diff(edges)
         if end_id is not None:
             ids, lengths = np.insert(ids, edges[1:], end_id), lengths + 1
