@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausula.llm.common import table
-from clausula.llm import arc, bpe, budget, ivfpq, repetition, ring, simhash, tokenstore
+from clausula.llm import arc, bpe, budget, ivfpq, repetition, ring, simhash, tokenstore, toxicity
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mph_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -63,7 +67,7 @@ def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op2_ivf_pq, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op7_mph_token_store, op9_simhash_anchors, op10_arc_converter)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op2_ivf_pq, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op6_boosted_toxicity, op7_mph_token_store, op9_simhash_anchors, op10_arc_converter)}
 
 
 def oracle_sql() -> dict[str, str]:
