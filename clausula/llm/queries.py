@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausula.llm.common import table
-from clausula.llm import arc, bpe, budget, ivfpq, repetition, ring, simhash, tokenstore, toxicity
+from clausula.llm import arc, bpe, budget, eftrie, ivfpq, repetition, ring, simhash, tokenstore, toxicity
+from clausula.llm.common import crc_bucket, table
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op7_mph_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eftrie.model_scores(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
+
+
 def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op2_ivf_pq, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op6_boosted_toxicity, op7_mph_token_store, op9_simhash_anchors, op10_arc_converter)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op2_ivf_pq, op3_byte_bpe, op4_bounded_ring, op5_hierarchical_mix, op6_boosted_toxicity, op7_mph_token_store, op8_elias_fano_lm, op9_simhash_anchors, op10_arc_converter)}
 
 
 def oracle_sql() -> dict[str, str]:
