@@ -36,11 +36,15 @@ def merge_unclosed_quotes(sentences: Column) -> Column:
 #: Ends of a sentence that take over what follows: always; unless an article and a small letter follow; a number first; small letters and digits only.
 _B = r"(?:^|[^\p{L}\p{N}_])"
 _ALWAYS = [*L.TITLES, *L.PLACES, *L.DATES, *L.FIRMS, *L.UNITS, *L.LATIN, *L.DOTTED, *L.PHRASES, *L.SCIENCES, *L.GRAMMAR, *L.EDITING, "Sec"]
-_TAIL = r"\S*\s?\S+\z"
+_TAIL = 48
+
+
+def _tail(sentence: Column) -> Column:
+    """The end of a sentence, which is all that the abbreviations need."""
+    return F.substring(sentence, -_TAIL, _TAIL)
 
 
 def _ends(words: list[str]) -> str:
-    """Tested against the last two words only."""
     return rf"(?iu){_B}{L.any_of(words)}\.\z"
 
 
@@ -49,6 +53,7 @@ def merge_abbreviations(sentences: Column) -> Column:
     numbered, guarded, always = _ends(L.NUMBERED), _ends([*L.NUMBERED, *L.GUARDED_LATIN, "et al", *L.MEASURES]), _ends(_ALWAYS)
     company = rf"(?iu){_B}{L.any_of([*L.COMPANIES, *L.SUFFIXES])}\.\z"
     loose = rf"(?iu)(?:^|[:;—–]\s*|{_B}(?:{'|'.join(L.FUNCTION_WORDS)})\s+){L.any_of([*L.COMPANIES, *L.SUFFIXES])}\.\z"
+    inner = loose.replace("(?:^|", "(?:")
     number = r"^\d[\d\-–]*\.(?=\s+[A-Z]|\s*\z)"
 
     def absorb(a: Column, b: Column) -> Column:
@@ -63,13 +68,13 @@ def merge_abbreviations(sentences: Column) -> Column:
                 .when(tail.rlike(guarded) & ~article, b)
                 .when(tail.rlike(always), b)
                 .when(tail.rlike(company) & b.rlike(r"^[a-z0-9]"), b)
-                .when(a.rlike(loose), b)
+                .when(tail.rlike(loose) & (F.char_length(a) <= F.char_length(tail)) | tail.rlike(inner), b)
             )
 
-        return let(F.regexp_extract(a, _TAIL, 0), chosen)
+        return let(_tail(a), chosen)
 
     def rest(a: Column, b: Column) -> Column:
-        only = F.regexp_extract(a, _TAIL, 0).rlike(numbered) & b.rlike(number) & ~(b.contains(")") & a.rlike(r"\([^)]*\z"))
+        only = _tail(a).rlike(numbered) & b.rlike(number) & ~(b.contains(")") & a.rlike(r"\([^)]*\z"))
         return F.when(only, rx(b, number, "")).otherwise("")
 
     return fold_pairs(sentences, absorb, rest, chain=True, left=lambda a: rx(a, r"([,;])\.\z", "$1"))

@@ -62,10 +62,11 @@ def split_abbreviation(sentences: Column) -> Column:
     def one(s: Column) -> Column:
         held = s
         for rule in goes_on:
-            held = F.regexp_replace(held, F.lit(f"(?:{rule})(?=[A-Z])"), F.lit("\x02"))
-        held = F.regexp_replace(held, F.lit(rf"(?<={_ENDING})\s+(?=[A-Z])"), F.lit(CUT))
+            held = F.regexp_replace(held, F.lit(rf"(?=\s+[A-Z])(?:{rule})(?=[A-Z])"), F.lit("\x02"))
+        held = F.regexp_replace(held, F.lit(rf"(?=\s+[A-Z])(?<={_ENDING})\s+(?=[A-Z])"), F.lit(CUT))
         held = F.regexp_replace(held, F.lit(r"\.\s+(?=(?:q\.e\.d|Q\.E\.D)\.\s*\z)"), F.lit("." + CUT))
-        return cut(F.translate(held, "\x02", " "), f"({CUT})", "$1")
+        parts = cut(F.translate(held, "\x02", " "), f"({CUT})", "$1")
+        return F.when(s.rlike(r"\.\s+[A-Zq]"), parts).otherwise(F.array(s))  # most sentences have nothing to decide
 
     return each(sentences, one)
 
