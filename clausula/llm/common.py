@@ -6,7 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,46 @@ def chunks(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def marked_rows(rows: DataFrame, ids: DataFrame, keep: bool, row_col: str = "nd__row") -> DataFrame:
+    """The rows whose row_col (from monotonically_increasing_id) is among ids (one column), or is not.
+
+    ids are dealt by the partition that row_col names and lie in one small file for each; a task that reads rows opens
+    the files of their partitions. So neither the rows nor all ids move: only ids are shuffled, once.
+    """
+    spark = rows.sparkSession
+    folder = shared_dir(spark, "marks")
+    at = rows.columns.index(row_col)
+    files, base = pa.fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+
+    def put(group: pa.Table) -> pa.Table:
+        files, base = pa.fs.FileSystem.from_uri(folder)
+        part = group.column("part")[0].as_py()
+        draft = f"{base}/.{part}-{uuid.uuid4().hex}"
+        with files.open_output_stream(draft, compression=None) as out:
+            out.write(np.sort(group.column("row").to_numpy()).astype("<i8").tobytes())
+        files.move(draft, f"{base}/{part}.ids")
+        return pa.table({"part": pa.array([part], pa.int64())})
+
+    row = ids.columns[0]
+    dealt = ids.select(ids[row].alias("row")).select("row", F.shiftright("row", 33).alias("part"))
+    dealt.groupBy("part").applyInArrow(put, "part long").count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = pa.fs.FileSystem.from_uri(folder)
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = batch.column(at).to_numpy(zero_copy_only=False)
+            inside = np.zeros(len(own), bool)
+            for part in np.unique(own >> 33).tolist():
+                if part not in known:
+                    known.clear()
+                    path = f"{base}/{part}.ids"
+                    there = files.get_file_info(path).type == pa.fs.FileType.File
+                    known[part] = np.frombuffer(files.open_input_stream(path, compression=None).read(), "<i8") if there else np.zeros(0, np.int64)
+                inside |= np.isin(own, known[part])
+            yield batch.filter(pc.equal(pa.array(inside), keep))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.llm import simhash
-from clausula.llm.common import blobs, written
+from clausula.llm.common import blobs, marked_rows, written
 from clausula.llm.components import components
 
 BANDS, ROWS, SLACK = 24, 5, 0.2
@@ -87,7 +87,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in blobs(batch.column(1))], pa.binary())], ["node", "shingles"])
 
     asked = likely.select(F.explode(F.array("a", "b")).alias("nd__row")).distinct()
-    known = written(keyed.join(asked, "nd__row", "left_semi").select("nd__row", text_col).mapInArrow(sets, "node long, shingles binary"), "sets")
+    known = written(marked_rows(keyed.select("nd__row", text_col), asked, True).mapInArrow(sets, "node long, shingles binary"), "sets")
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,5 +137,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs without all but one of each near-duplicate class."""
     keyed = written(docs.withColumn("nd__row", F.monotonically_increasing_id()), "keyed")
     classes = near_duplicate_classes(keyed, id_col, text_col, shingle, similarity)
-    stays = written(classes.groupBy("root").agg(F.min(F.struct("id", "node")).alias("stays")).select(F.col("stays.node").alias("nd__row")), "stays")
-    return keyed.join(stays, "nd__row", "left_semi").select(*docs.columns)
+    stays = classes.groupBy("root").agg(F.min(F.struct("id", "node")).alias("stays")).select(F.col("stays.node").alias("nd__row"))
+    return marked_rows(keyed, stays, True).select(*docs.columns)
