@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs
+from clausula.llm.common import blobs, small_batches
 
 PIECE_CHARS, LONG_MATCH = 1 << 16, 2048
 _BOUNDARY = re.compile(r"(?<=[!-~])(?=[ \n])")
@@ -127,6 +127,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
 def digest_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Round trip in one pass: each row's number of ids, SHA-256 of the ids and of the bytes they decode to."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.llm import simhash
-from clausula.llm.common import blobs, marked_rows, written
+from clausula.llm.common import blobs, marked_rows, small_batches, written
 from clausula.llm.components import components
 
 BANDS, ROWS, SLACK = 24, 5, 0.2
@@ -135,6 +135,7 @@ def near_duplicate_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: s
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without all but one of each near-duplicate class."""
+    small_batches(docs.sparkSession)
     keyed = written(docs.withColumn("nd__row", F.monotonically_increasing_id()), "keyed")
     classes = near_duplicate_classes(keyed, id_col, text_col, shingle, similarity)
     stays = classes.groupBy("root").agg(F.min(F.struct("id", "node")).alias("stays")).select(F.col("stays.node").alias("nd__row"))

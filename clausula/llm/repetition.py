@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, chunks
+from clausula.llm.common import blobs, chunks, small_batches
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -178,6 +178,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def quality_filter(docs: DataFrame, text_col: str = "text", limits: RepeatLimits = RepeatLimits()) -> DataFrame:
     """The rows of docs whose text is kept, with all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from clausula.llm.common import blobs, chunks, parts, shared_dir, written
+from clausula.llm.common import blobs, chunks, parts, shared_dir, small_batches, written
 
 HEADER = "<4sHHQ"
 HEADER_BYTES = struct.calcsize(HEADER)
@@ -255,6 +255,7 @@ def _keyed(rows: DataFrame, indexes: int) -> DataFrame:
 
 def write_store(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", keys_per_index: int = 1 << 16, words: bool = True) -> DataFrame:
     """Writes payload, index and manifest below folder; returns the keys (id, nth) as a written table."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     n_files = max(1, parts(spark))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, chunks, crc_bucket, written
+from clausula.llm.common import blobs, chunks, crc_bucket, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -193,6 +193,7 @@ class Trees:
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the blocks' mean scores and rates, both ascending."""
+    small_batches(docs.sparkSession)
     order = np.argsort(scores, kind="stable")
     blocks: list[list[float]] = []
     for s, v in zip(scores[order], y[order].astype(float)):
@@ -285,6 +286,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
