@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -189,29 +190,52 @@ class Level:
         self.pointers = [EliasFano(m["pointers"], m["low_bits"], a["low"], a["words"], a["before"]) for m, a in self.files]
         self.offsets = np.r_[0, np.cumsum([s["n"] for s in self.segments])].astype(np.int64)
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place (-1: absent) and log probability of the n-grams, and the contexts' log back-off weight (0 for contexts without successors)."""
-        place, value, weight = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
-        where = np.searchsorted(self.starts, context, "right") - 1
-        for s, (meta, arrays) in enumerate(self.files):
-            own = np.flatnonzero((where == s) & (context >= 0) & (context - self.starts[s] < meta["pointers"] - 1))
-            if not len(own):
-                continue
+    def rows(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where contexts' successors lie: segment (-1: none), begin and end, and log back-off weight (0 for unknown contexts)."""
+        n = len(context)
+        segment, low, high, weight = np.full(n, -1, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        for s, own in _by_segment(np.searchsorted(self.starts, context, "right") - 1, len(self.files)):
+            meta, arrays = self.files[s]
+            own = own[context[own] - self.starts[s] < meta["pointers"] - 1]
             at = context[own] - self.starts[s]
-            low, high = self.pointers[s][at], self.pointers[s][at + 1]
-            some = high > low
-            own, at, low, high, sought = own[some], at[some], low[some], high[some], word[own[some]]
-            weight[own] = arrays["weight"][at] * meta["weight_step"] + meta["weight_low"]
-            end, successors = high.copy(), arrays["word"]
-            while len(open_ := np.flatnonzero(low < high)):
-                middle = (low[open_] + high[open_]) >> 1
-                below = successors[middle] < sought[open_]
-                low[open_] = np.where(below, middle + 1, low[open_])
-                high[open_] = np.where(below, high[open_], middle)
-            hit = (low < end) & (successors[np.minimum(low, len(successors) - 1)] == sought)
-            place[own[hit]] = low[hit] + self.offsets[s]
-            value[own[hit]] = arrays["value"][low[hit]] * meta["value_step"] + meta["value_low"]
-        return place, value, weight
+            low[own], high[own] = self.pointers[s][at], self.pointers[s][at + 1]
+            some = high[own] > low[own]
+            segment[own[some]] = s
+            weight[own[some]] = arrays["weight"][at[some]] * meta["weight_step"] + meta["weight_low"]
+        return segment, low, high, weight
+
+    def search(self, segment: np.ndarray, low: np.ndarray, high: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place (-1: absent) and log probability of words among successors."""
+        place, value = np.full(len(word), -1, np.int64), np.zeros(len(word))
+        for s, own in _by_segment(segment, len(self.files)):
+            meta, arrays = self.files[s]
+            successors, at, end, sought = arrays["word"], low[own], high[own], word[own].astype(np.uint32)
+            size = end - at
+            # the last place whose word is not above the sought one, by halving steps of equal size for all
+            step = 1 << max(0, int(size.max()).bit_length() - 1)
+            top = len(successors) - 1
+            while step:
+                to = at + step
+                at = np.where((to < end) & (successors[np.minimum(to, top)] <= sought), to, at)
+                step >>= 1
+            hit = successors[at] == sought
+            place[own[hit]] = at[hit] + self.offsets[s]
+            value[own[hit]] = arrays["value"][at[hit]] * meta["value_step"] + meta["value_low"]
+        return place, value
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, log probability and back-off weight of n-grams."""
+        segment, low, high, weight = self.rows(context)
+        return *self.search(segment, low, high, word), weight
+
+
+def _by_segment(segment: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The indices of each segment that occurs."""
+    order = np.argsort(segment.astype(np.int16), kind="stable")
+    edges = np.searchsorted(segment[order], np.arange(n + 1))
+    for s in range(n):
+        if edges[s] < edges[s + 1]:
+            yield s, order[edges[s] : edges[s + 1]]
 
 
 @dataclass(frozen=True)
@@ -244,27 +268,44 @@ class Trie:
     def single(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.vocabulary.size + 1)))
 
-    def scores(self, ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, known: np.ndarray, tokens: np.ndarray, first: np.ndarray, often: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level, each token's place, log probability and back-off weight. known: ids of the distinct words; often: which of these n-grams may hold."""
+        sought, before, context = known[tokens], np.where(first, 0, np.r_[0, tokens[:-1]]), None
+        wanted = often[tokens]
+        for level in self.levels:
+            if context is None:  # the end token is the distinct word 0
+                segment, low, high, weight = (x[before] for x in level.rows(known))
+            else:
+                n, own = len(tokens), np.flatnonzero(context >= 0)
+                segment, low, high, weight = np.full(n, -1, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+                segment[own], low[own], high[own], weight[own] = level.rows(context[own])
+            place, value = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens))
+            own = np.flatnonzero(wanted & (segment >= 0))
+            place[own], value[own] = level.search(segment[own], low[own], high[own], sought[own])
+            yield place, value, weight
+            # the n-gram that ended at the token before is the next level's context
+            context = np.where(first, -1, np.r_[-1, place[:-1]])
+
+    def scores(self, known: np.ndarray, tokens: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """log10 of each token's probability, by single words and by the model; first marks each document's first token."""
-        base = self.single(self.vocabulary.counts(ids))
+        counts = self.vocabulary.counts(known)
+        base = self.single(counts)[tokens]
         value = base
-        context = np.where(first, end_id, np.r_[-1, ids[:-1]])
-        for depth, level in enumerate(self.levels):
-            place, found, weight = level.find(context, ids)
+        for place, found, weight in self.walk(known, tokens, first, counts >= least):
             value = np.where(place >= 0, found, weight + value)
-            # the n-gram that ended at the token before is the next level's context
-            context = np.where(first, -1, np.r_[-1, place[:-1]])
         return base, value
 
 
 def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, each token's index into them, and the number of tokens of each text (its end token included)."""
-    number: dict[bytes, int] = {END: 0}
+    number: dict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    number[END]
     rows, counts = [], []
     for text in texts:
         words = (text or b"").lower().split()
         row = np.empty(len(words) + 1, np.int64)
-        row[:-1] = [number.setdefault(w, len(number)) for w in words] if words else []
+        row[:-1] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         row[-1] = 0
         rows.append(row)
         counts.append(len(row))
@@ -340,12 +381,11 @@ def _count_pairs(train: DataFrame, manifest: Manifest, settings: Settings, n_par
             for a, b in chunks(texts, settings.chunk_bytes):
                 hashes, tokens, counts = token_hashes(texts[a:b])
                 known = trie.vocabulary.ids(hashes)
-                ids, often = known[tokens], (trie.vocabulary.counts(known) >= settings.least)[tokens]
-                first = _first_flags(counts)
+                frequent, first, ids = trie.vocabulary.counts(known) >= settings.least, _first_flags(counts), known[tokens]
+                often = frequent[tokens]
                 context = np.where(first, end_id, np.r_[-1, ids[:-1]])
                 often &= np.where(first, True, np.r_[False, often[:-1]])
-                for level in trie.levels:
-                    place, _, _ = level.find(np.where(often, context, -1), ids)
+                for place, _, _ in trie.walk(known, tokens, first, frequent):
                     context = np.where(first, -1, np.r_[-1, place[:-1]])
                     often &= (context >= 0) & (place >= 0)
                 key, n = np.unique((context[often] << 32) | ids[often], return_counts=True)
@@ -440,13 +480,13 @@ def score_documents(docs: DataFrame, manifest: Manifest, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie.opened(manifest)
-        end_id = int(trie.vocabulary.ids(np.array([_end_hash()]))[0]) if trie.total else -1
         for batch in batches:
             keys, texts = batch.column(0), blobs(batch.column(1))
             for a, b in chunks(texts, settings.chunk_bytes):
                 hashes, tokens, counts = token_hashes(texts[a:b])
-                ids = trie.vocabulary.ids(hashes)[tokens]
-                base, value = trie.scores(ids, _first_flags(counts), end_id)
+                known = trie.vocabulary.ids(hashes)
+                ids = known[tokens]
+                base, value = trie.scores(known, tokens, _first_flags(counts), settings.least)
                 begin = np.cumsum(counts) - counts
                 sums = [np.add.reduceat(x, begin) for x in ((ids >= 0).astype(np.int64), base, value)]
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(counts), pa.array(sums[0]), pa.array(np.full(b - a, trie.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
