@@ -36,46 +36,52 @@ def merge_unclosed_quotes(sentences: Column) -> Column:
 #: Ends of a sentence that take over what follows: always; unless an article and a small letter follow; a number first; small letters and digits only.
 _B = r"(?:^|[^\p{L}\p{N}_])"
 _ALWAYS = [*L.TITLES, *L.PLACES, *L.DATES, *L.FIRMS, *L.UNITS, *L.LATIN, *L.DOTTED, *L.PHRASES, *L.SCIENCES, *L.GRAMMAR, *L.EDITING, "Sec"]
-_TAIL = 48
-
-
-def _tail(sentence: Column) -> Column:
-    """The end of a sentence, which is all that the abbreviations need."""
-    return F.substring(sentence, -_TAIL, _TAIL)
 
 
 def _ends(words: list[str]) -> str:
     return rf"(?iu){_B}{L.any_of(words)}\.\z"
 
 
+def _last(sentence: Column, words: int = 1) -> Column:
+    """The last words of a sentence: all that an abbreviation needs, and far less to search."""
+    return F.substring_index(sentence, " ", -words)
+
+
 def merge_abbreviations(sentences: Column) -> Column:
     """Sentences that end in an abbreviation which does not end one, joined with what follows, again and again."""
-    numbered, guarded, always = _ends(L.NUMBERED), _ends([*L.NUMBERED, *L.GUARDED_LATIN, "et al", *L.MEASURES]), _ends(_ALWAYS)
-    company = rf"(?iu){_B}{L.any_of([*L.COMPANIES, *L.SUFFIXES])}\.\z"
-    loose = rf"(?iu)(?:^|[:;—–]\s*|{_B}(?:{'|'.join(L.FUNCTION_WORDS)})\s+){L.any_of([*L.COMPANIES, *L.SUFFIXES])}\.\z"
-    inner = loose.replace("(?:^|", "(?:")
+    numbered, guarded = _ends(L.NUMBERED), _ends([*L.NUMBERED, *L.GUARDED_LATIN, *L.MEASURES])
+    always, phrases = _ends([w for w in _ALWAYS if " " not in w]), _ends([w for w in _ALWAYS if " " in w])
+    suffix = L.any_of([*L.COMPANIES, *L.SUFFIXES])
+    company, alone = rf"(?iu){_B}{suffix}\.\z", rf"(?iu)^{suffix}\.\z"
+    led = rf"(?iu)(?:[:;—–]\s?|{_B}(?:{'|'.join(L.FUNCTION_WORDS)})\s){suffix}\.\z"
     number = r"^\d[\d\-–]*\.(?=\s+[A-Z]|\s*\z)"
 
+    def takes_number(a: Column, b: Column) -> Column:
+        return b.rlike(number) & _last(a).rlike(numbered)
+
+    def bracket(a: Column, b: Column) -> Column:
+        return b.contains(")") & a.rlike(r"\([^)]*\z")
+
     def absorb(a: Column, b: Column) -> Column:
-        def chosen(tail: Column) -> Column:
+        def chosen(last: Column) -> Column:
             article = b.rlike(r"^(?:The|A|An)\s+[a-z]")
-            bracket = b.contains(")") & a.rlike(r"\([^)]*\z")
-            return (
-                F.when(bracket, b)
-                .when(tail.rlike(r"(?i)(?:^|[^\p{L}])nos?\.\z") & b.rlike(r"^\d[\d\-–]*\.(?=\s+[A-Z]|\s*\z)"), F.regexp_extract(b, number, 0))
-                .when(tail.rlike(numbered) & b.rlike(number), F.regexp_extract(b, number, 0))
-                .when(a.rlike(r"[A-Za-z]\. \d+\.?\z") & b.rlike(r"^[a-z]"), b)
-                .when(tail.rlike(guarded) & ~article, b)
-                .when(tail.rlike(always), b)
-                .when(tail.rlike(company) & b.rlike(r"^[a-z0-9]"), b)
-                .when(tail.rlike(loose) & (F.char_length(a) <= F.char_length(tail)) | tail.rlike(inner), b)
+            two = _last(a, 2)
+            short = F.char_length(last) <= 16
+            known = (
+                F.when(takes_number(a, b), F.regexp_extract(b, number, 0))
+                .when(last.rlike(guarded) & ~article, b)
+                .when(last.rlike(always), b)
+                .when(last.rlike(company) & b.rlike(r"^[a-z0-9]"), b)
+                .when(a.rlike(alone) | two.rlike(led), b)
+                .when(two.rlike(phrases), b)
+                .when(two.rlike(r"(?i)(?:^|\s)et\s+al\.\z") & ~article, b)
             )
+            return F.when(bracket(a, b), b).when(b.rlike(r"^[a-z]") & a.rlike(r"[A-Za-z]\. \d+\.?\z"), b).when(short, known)
 
-        return let(_tail(a), chosen)
+        return let(_last(a), chosen)
 
     def rest(a: Column, b: Column) -> Column:
-        only = _tail(a).rlike(numbered) & b.rlike(number) & ~(b.contains(")") & a.rlike(r"\([^)]*\z"))
-        return F.when(only, rx(b, number, "")).otherwise("")
+        return F.when(takes_number(a, b) & ~bracket(a, b), rx(b, number, "")).otherwise("")
 
     return fold_pairs(sentences, absorb, rest, chain=True, left=lambda a: rx(a, r"([,;])\.\z", "$1"))
 

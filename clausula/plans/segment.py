@@ -59,9 +59,17 @@ def prepared(c: Text, options: Options = Options()) -> Column:
     return T.normalize_quotes(text) if options.normalize else text
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many parts as there are cores: splitting costs far more than reading, and a small file is one task else. Larger inputs and streams stay as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sentence_rows(df: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, para_idx, sent_idx, sentence. Paragraphs are rows of their own before they are split, so a long document is many small rows."""
-    rows = df.select(F.col(id_col).alias(id_col), F.posexplode(paragraphs(prepared(text_col, options))).alias("para_idx", "paragraph"))
+    rows = spread(df.select(id_col, text_col)).select(F.col(id_col).alias(id_col), F.posexplode(paragraphs(prepared(text_col, options))).alias("para_idx", "paragraph"))
     return rows.select(id_col, "para_idx", F.posexplode(segment_sentences("paragraph", options.split_dialog)).alias("sent_idx", "sentence"))
 
 

@@ -171,7 +171,7 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, sentences and mean sentence length by language."""
-    docs = _docs(spark, sf_dir).select("lang", P.flattened(P.segmented("text")).alias("s"))
+    docs = P.spread(_docs(spark, sf_dir).select("lang", "text")).select("lang", P.flattened(P.segmented("text")).alias("s"))
     total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
     return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("s")).cast("long").alias("sentences"), (F.sum(total) / F.sum(F.size("s"))).alias("mean_len"))
 
