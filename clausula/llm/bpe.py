@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, small_batches
+from clausula.llm.common import blobs, lean, small_batches
 
 PIECE_CHARS, LONG_MATCH = 1 << 16, 2048
 _BOUNDARY = re.compile(r"(?<=[!-~])(?=[ \n])")
@@ -122,7 +122,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
                     yield pa.RecordBatch.from_arrays([keys.slice(begin, len(ids)), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["id", "token_ids", "n_tokens"])
                     begin, ids, size = i + 1, [], 0
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, token_ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(lean(run), f"id {kind}, token_ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def digest_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,4 +142,4 @@ def digest_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
                 byte_hashes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(byte_hashes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(lean(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausula.llm import simhash
-from clausula.llm.common import blobs, marked_rows, small_batches, written
+from clausula.llm.common import blobs, lean, marked_rows, small_batches, written
 from clausula.llm.components import components
 
 BANDS, ROWS, SLACK = 24, 5, 0.2
@@ -67,7 +67,7 @@ def _sketches(keyed: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 sketches.append((least >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.string()), pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "id", "same", "fp", "bands", "sketch"])
 
-    return keyed.select("nd__row", id_col, text_col).mapInArrow(run, f"node long, id {kind}, same string, fp long, bands array<long>, sketch binary")
+    return keyed.select("nd__row", id_col, text_col).mapInArrow(lean(run), f"node long, id {kind}, same string, fp long, bands array<long>, sketch binary")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -80,14 +80,14 @@ def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str
 
     sketch = nodes.select("node", "sketch")
     both = pairs.join(sketch.toDF("a", "left"), "a").join(sketch.toDF("b", "right"), "b").select("a", "b", "left", "right")
-    likely = written(both.mapInArrow(roughly, "a long, b long"), "likely")
+    likely = written(both.mapInArrow(lean(roughly), "a long, b long"), "likely")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in blobs(batch.column(1))], pa.binary())], ["node", "shingles"])
 
     asked = likely.select(F.explode(F.array("a", "b")).alias("nd__row")).distinct()
-    known = written(marked_rows(keyed.select("nd__row", text_col), asked, True).mapInArrow(sets, "node long, shingles binary"), "sets")
+    known = written(marked_rows(keyed.select("nd__row", text_col), asked, True).mapInArrow(lean(sets), "node long, shingles binary"), "sets")
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +98,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str
                 kept.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
 
-    return likely.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(exactly, "a long, b long")
+    return likely.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(lean(exactly), "a long, b long")
 
 
 def near_duplicate_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, small: int = 8) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, chunks, small_batches
+from clausula.llm.common import blobs, chunks, lean, small_batches
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -173,7 +173,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0)} | {k: pa.array(v) for k, v in _measured(blobs(batch.column(1)), limits).items()})
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {REPORT}")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, {REPORT}")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", limits: RepeatLimits = RepeatLimits()) -> DataFrame:
@@ -185,4 +185,4 @@ def quality_filter(docs: DataFrame, text_col: str = "text", limits: RepeatLimits
         for batch in batches:
             yield batch.filter(pa.array(_measured(blobs(batch.column(at)), limits)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

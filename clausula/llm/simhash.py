@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, written
+from clausula.llm.common import blobs, lean, written
 from clausula.llm.components import components
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = b"".join(fingerprint(shingle_digests(t, shingle)) for t in blobs(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(lean(run), f"id {kind}, fp long")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def _replicated(nodes: DataFrame, distance: int, home_only: bool) -> DataFrame:
                 key, row, _ = anchors(part, 0 if home_only else distance)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["anchor", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "anchor long, fp long")
+    return nodes.select("fp").mapInArrow(lean(run), "anchor long, fp long")
 
 
 def links(nodes: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:

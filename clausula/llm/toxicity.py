@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, chunks, crc_bucket, small_batches, written
+from clausula.llm.common import blobs, chunks, crc_bucket, lean, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,7 @@ class _Words(dict):
 class Features:
     """Dense features of many texts; remembers about cache_words distinct words."""
 
-    def __init__(self, lexicon: dict[str, float], settings: Settings, cache_words: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], settings: Settings, cache_words: int = 150_000):
         self.lexicon, self.settings, self.cache_words = lexicon, settings, cache_words
         self._forget()
 
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     inside = lambda part: F.col("fold").isin(parts[part])
     n = {y: sum(folds.get((f, y), 0) for f in parts["lexicon"]) for y in (0, 1)}
-    counts = sample.where(inside("lexicon")).select("text", "label").mapInArrow(counted, "term string, zeros long, ones long").groupBy("term").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    counts = sample.where(inside("lexicon")).select("text", "label").mapInArrow(lean(counted), "term string, zeros long, ones long").groupBy("term").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     ratio = (F.col("ones") / (n[1] + 1.0)) / ((F.col("zeros") + 0.5) / (n[0] + 1.0))
     best = counts.where(F.col("ones") >= s.least_documents).withColumn("ratio", ratio).where(F.col("ratio") >= s.least_ratio).orderBy((F.log("ratio") * F.sqrt("ones")).desc(), "term").limit(s.lexicon_terms)
     lexicon = {r.term: math.log(r.ratio) for r in best.select("term", "ratio").collect()}
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for a, b in chunks(texts, 2 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(features.matrix(texts[a:b]).tolist(), pa.list_(pa.float64())), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["x", "label", "fold"])
 
-    rows = sample.where(inside("trees") | inside("steps")).select("text", "label", "fold").mapInArrow(dense, "x array<double>, label int, fold int").collect()
+    rows = sample.where(inside("trees") | inside("steps")).select("text", "label", "fold").mapInArrow(lean(dense), "x array<double>, label int, fold int").collect()
     x, y, fold = np.array([r.x for r in rows]), np.array([r.label for r in rows]), np.array([r.fold for r in rows])
     order = np.lexsort((*x.T, y, fold))  # the same model whatever order the rows arrive in
     x, y, fold = x[order], y[order], fold[order]
@@ -281,7 +281,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             score = _scored(model, blobs(batch.column(1)), features)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= model.settings.threshold).astype(np.int32))], ["id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(lean(run), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -294,7 +294,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(_scored(model, blobs(batch.column(at)), features) < model.settings.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> DataFrame:
