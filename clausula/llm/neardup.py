@@ -10,9 +10,11 @@ Candidates are compared by all minima first, and, unless these are far below, ex
 Equal shingle sets are one node from the start, whatever the number of copies. In a band's bucket each node is first compared
 with the bucket's most central one, which meets the most others over all bands: an original among its edited copies.
 Then nodes that are still in different classes are compared with each other: all of a bucket up to four times `small`
-nodes, and in larger ones those that meet in hashed parts of about `small`, which differ from band to band. So the
-comparisons stay proportional to the number of nodes, and a crowd that shares one passage does not hide similar texts,
-which share many buckets. In crowded buckets a link between two classes can be missed if no part of any band holds it.
+nodes, and in larger ones those that meet in hashed parts of about `small`, which differ from band to band. This leaves
+few classes in most crowded buckets. What is still apart there is compared in full: every node outside the bucket's
+largest class meets every node of another class, in blocks of about `side` by `side` nodes, so no task has a whole
+bucket. So every two texts that share a bucket end in one class or have been compared. The work of the last step grows
+with the product of a bucket's nodes and those outside its largest class; no pair is left out to bound it.
 
 Defined results: null and wordless texts are one class of their own; texts of fewer words than a shingle compare as
 whole sequences. Rows are told apart by their place in a written table, so null ids and repeated rows are fine; of a
@@ -101,7 +103,37 @@ def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str
     return likely.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(lean(exactly), "a long, b long")
 
 
-def near_duplicate_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, small: int = 8) -> DataFrame:
+def _crossed(apart: DataFrame, nodes: DataFrame, similarity: float, side: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes (root) in one bucket (key) whose minima do not tell them apart; may repeat."""
+    counts = apart.groupBy("key", "root").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top")).where("top.c < n")
+    sizes = sizes.select("key", F.col("top.root").alias("largest"), F.ceil(F.col("n") / side).alias("parts"), F.ceil((F.col("n") - F.col("top.c")) / side).alias("outer_parts"))
+    placed = written(apart.join(sizes, "key").withColumn("outer", F.col("root") != F.col("largest")).withColumn("hash", F.xxhash64("node", "key")).join(nodes.select("node", "sketch"), "node"), "placed")
+    part, outer_part = F.pmod("hash", "parts"), F.pmod("hash", "outer_parts")
+    columns = ["key", "node", "root", "sketch", "outer"]
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    inner = placed.select(*columns, F.lit(False).alias("asks"), part.alias("v"), upto("outer_parts").alias("u"))
+    asking = placed.where("outer").select(*columns, F.lit(True).alias("asks"), outer_part.alias("u"), upto("parts").alias("v"))
+
+    def block(group: pa.Table) -> pa.Table:
+        asks, outer = (group.column(c).to_numpy() for c in ("asks", "outer"))
+        node, root = (group.column(c).to_numpy() for c in ("node", "root"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+        others = ~asks
+        node_b, root_b, sketch_b, outer_b = node[others], root[others], sketch[others], outer[others]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(asks):
+            # two nodes outside the largest class meet twice, once as each side
+            at = np.flatnonzero((root_b != root[i]) & (~outer_b | (node_b > node[i])))
+            at = at[(sketch_b[at] == sketch[i]).mean(axis=1) >= similarity - SLACK]
+            left.append(np.full(len(at), node[i]))
+            right.append(node_b[at])
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return inner.unionByName(asking).groupBy("key", "u", "v").applyInArrow(block, "a long, b long")
+
+
+def near_duplicate_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, small: int = 8, side: int = 512) -> DataFrame:
     """keyed has a unique nd__row. Returns node (nd__row), id and root (one node of the class) of every row."""
     rows = written(_sketches(keyed, id_col, text_col, shingle), "sketches")
     leads = written(rows.groupBy("same").agg(F.min(F.struct("id", "node")).alias("lead")).select("same", F.col("lead.node").alias("lead")), "leads")
@@ -128,7 +160,13 @@ def near_duplicate_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: s
     apart = apart.join(mixed, ["key", "part"])
     rest = apart.alias("l").join(apart.alias("r"), ["key", "part"]).where("l.node < r.node AND l.root <> r.root").select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     more = _similar(ordered(rest).join(ordered(first), ["a", "b"], "left_anti"), nodes, keyed, text_col, shingle, similarity)
-    roots = written(components(found.unionByName(more)), "roots")
+    found = written(found.unionByName(more), "similar")
+    roots = written(components(found), "roots")
+    crowded = members.where(F.col("n") > 4 * small).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    crossed = written(ordered(_crossed(crowded, nodes, similarity, side)), "crossed")
+    if not crossed.isEmpty():
+        more = _similar(crossed, nodes, keyed, text_col, shingle, similarity)
+        roots = written(components(found.unionByName(more)), "roots")
     lead = rows.join(leads, "same").select("node", "id", "lead")
     return lead.join(roots.withColumnRenamed("node", "lead"), "lead", "left").select("node", "id", F.coalesce("root", "lead").alias("root"))
 

@@ -68,6 +68,30 @@ def test_near_duplicates_match_brute_force(spark):
         assert key == min(ids, key=lambda i: -1 if i is None else i)
 
 
+def template_corpus(pairs=200, seed=4):
+    """Pairs of near-copies on one template: originals are at 0.78, those of a pair at little more than 0.8."""
+    rng = random.Random(seed)
+    template, texts = words(rng, 186), []
+    for _ in range(pairs):
+        own = words(rng, 26)
+        copy = list(own)
+        copy[12] = words(rng, 1)[0]
+        texts += [" ".join(template + own), " ".join(template[:1] + words(rng, 1) + template[2:80] + words(rng, 1) + template[81:120] + words(rng, 1) + template[121:150] + words(rng, 1) + template[151:] + copy)]
+    return texts
+
+
+def test_crowded_buckets_lose_no_class(spark):
+    texts = template_corpus()
+    classes = brute_classes(texts)
+    assert len(set(classes)) > 150
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    keyed = frame.selectExpr("*", "doc_id AS nd__row")
+    lowest, found = {}, {r.id: r.root for r in neardup.near_duplicate_classes(keyed, side=40).collect()}
+    for i in sorted(found):
+        lowest.setdefault(found[i], i)
+    assert [lowest[found[i]] for i in range(len(texts))] == classes
+
+
 def test_empty(spark):
     assert neardup.one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []
 
