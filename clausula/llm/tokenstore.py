@@ -82,7 +82,7 @@ class WordEncoder:
 
     #: Words of these characters alone are lower-cased and cut here, as the tokenizer file's own pattern does it; others are left to the tokenizer.
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     WORD_END = "</w>"
 
     def __init__(self, tokenizer_file: str, cache_words: int = 250_000, words: bool = True):

@@ -24,6 +24,16 @@ def test_words_give_the_ids_of_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in some]
 
 
+def test_every_plain_character_inside_words():
+    tokenizer, encoder = Tokenizer.from_file(FILE), tokenstore.WordEncoder(FILE)
+    plain = [c for c in map(chr, range(0x250)) if encoder.PLAIN.fullmatch(c)]
+    some = ["straße", "GROßE Maße, weiß's"] + [f for c in plain for f in (f"stra{c}e", f"STRA{c}E", f"{c}e", f"e{c}", f"1{c}2", f"a{c}{c}b", f".{c}!", f"it'{c}s")]
+    ids, lengths = encoder.encode([t.encode() for t in some])
+    found = [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert [t for t, f, w in zip(some, found, want) if f != w] == []
+
+
 def test_round_trip(spark):
     tokenizer, some = Tokenizer.from_file(FILE), texts()
     rows = [(i * 3, t, "f", 1) for i, t in enumerate(some)] + [(3, "again", None, None), (3, "again", None, None), (None, "no id", None, None)]
