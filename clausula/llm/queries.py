@@ -59,7 +59,7 @@ def op7_mph_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eftrie.model_scores(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
+    return eftrie.model_scores(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0, settings=eftrie.Settings(least=1))
 
 
 def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from clausula.llm import eftrie
+from clausula.llm import eftrie, queries
 from clausula.llm.common import crc_bucket
 
 SCHEMA = "doc_id long, text string, score string, n int"
@@ -74,6 +74,16 @@ def test_scores_match_brute_force(spark, order):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_registered_query_keeps_what_is_seen_once(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op8_elias_fano_lm(spark, str(tmp_path)).collect()
+    key = lambda r: (-1 if r[0] is None else r[0], r[1:])
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out), key=key)
+    for g, w in zip(got, sorted(brute(rows, 3, least=1), key=key), strict=True):
+        assert g[:4] == w[:4] and abs(g[5] - w[5]) < 5e-5 * w[1] + 1e-9
+
+
 def test_no_training_and_empty(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert eftrie.model_scores(frame, crc_bucket("doc_id", 10) == 0).collect() == []
