@@ -92,6 +92,7 @@ _POST = [(".. ", ". "), (". .", ". "), (",.", ", "), (", .", ", "), ("!.", "! ")
 _text("post_process", "concat(' ', replace(replace(text, ', ', ',. '), '? ', '? . '))", "", T.post_process, _chain(["CASE WHEN contains(x, '{0}') THEN {1} ELSE x END".format(a, _STRIP.format(f"replace(x, '{a}', '{b}')")) for a, b in _POST]))
 _text("strip_period_after_quote", "concat(text, CASE WHEN doc_id % 3 = 0 THEN '\".' ELSE '' END)", "", T.strip_period_after_quote, "regexp_replace(x, '([.?!]\")\\.$', '\\1')")
 _text("append_period", "substr(text, 1, cast(n_chars - doc_id % 3 as int))", "substr(text, 1, (n_chars - doc_id % 3)::INTEGER)", T.append_period, "CASE WHEN regexp_matches(x, '[.?!:][\"'']*$') OR regexp_matches(x, '^[(\\[{<]') OR regexp_matches(x, '://\\S*$') THEN x ELSE x || '.' END")
+_text("append_period_whole", "CASE doc_id % 3 WHEN 0 THEN concat(text, ' and more') WHEN 1 THEN concat(text, '?\"') ELSE text END", "", T.append_period, "CASE WHEN regexp_matches(x, '[.?!:][\"'']*$') OR regexp_matches(x, '^[(\\[{<]') OR regexp_matches(x, '://\\S*$') THEN x ELSE x || '.' END")
 _text("quote_count", "concat('\"', replace(text, '. ', '.\" '), 'a\"b')", "", T.quote_count, "(length(x) - length(replace(x, '\"', ''))) - (length(x) - length(regexp_replace(x, '(\\p{L})\"(\\p{L})', '\\1\\2', 'g')))::INTEGER")
 _text("mask_urls", "concat('See https://ex.org/a.b?c=', doc_id, '. ', text)", "'See https://ex.org/a.b?c=' || doc_id || '. ' || text", T.mask_urls, f"replace(x, 'https://ex.org/a.b?c=', 'https://ex{PERIOD}org/a{PERIOD}bc=')")
 _text("mask_brackets", "concat('Data [Fig. ', doc_id, '.] hold. ', text)", "'Data [Fig. ' || doc_id || '.] hold. ' || text", T.mask_brackets, f"replace(replace(x, '[Fig. ', '[Fig{PERIOD} '), '.] hold. ', '{PERIOD}] hold. ')")
@@ -109,6 +110,7 @@ for _name, _f, _derived in (
     _text(_name, _derived, "", _f)
 _text("mask_round_trip", "concat('Go to https://a.b/c. [x. y] N°. 5 ', text)", "'Go to https://a.b/c. [x. y] N°. 5 ' || text", lambda c: unmask(T.mask_numero(T.mask_brackets(T.mask_urls(c)))), "x")
 _text("needs_sentences", "substr(text, 1, 60)", "", T.needs_sentences, "regexp_matches(x, '[.?!…]')")
+_text("needs_sentences_whole", "CASE WHEN doc_id % 2 = 0 THEN translate(text, '.?!…', ',,,,') ELSE text END", "", T.needs_sentences, "regexp_matches(x, '[.?!…]')")
 _text("mla_score", "CASE WHEN doc_id % 2 = 0 THEN concat('Doe, Jane. The Book. A Press, 1926. (', 1900 + doc_id % 100, ') ', text) ELSE text END", "CASE WHEN doc_id % 2 = 0 THEN 'Doe, Jane. The Book. A Press, 1926. (' || (1900 + doc_id % 100) || ') ' || text ELSE text END", T.mla_score, """greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.0::DOUBLE
   + CASE WHEN regexp_matches(x, '^[A-Z][a-z]+,\\s+[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?\\.(?:\\s|$)') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
   + CASE WHEN regexp_matches(x, '\\(\\d{4}\\)') THEN (-0.3)::DOUBLE ELSE 0.2::DOUBLE END
