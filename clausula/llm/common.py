@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,32 @@ def chunks(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def padded(data: bytes) -> np.ndarray:
+    """The bytes and 16 zeros, as span_keys wants them."""
+    return np.frombuffer(data + bytes(16), np.uint8)
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each span of padded data: the bytes themselves up to 16 (free of zero bytes, so exact), else their XXH3 of 128 bits."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    first = eights[starts] & _MASKS[np.minimum(lengths, 8)]
+    second = eights[np.minimum(starts + 8, len(data) - 8)] & _MASKS[np.clip(lengths - 8, 0, 8)]
+    for i in np.flatnonzero(lengths > 16).tolist():
+        digest = xxhash.xxh3_128_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
+        first[i], second[i] = digest >> 64, digest & 2**64 - 1
+    return first, second
+
+
+def mixed_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each pair of span_keys."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) ^ (second + np.uint64(0x165667B19E3779F9)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
 def marked_rows(rows: DataFrame, ids: DataFrame, keep: bool, row_col: str = "nd__row") -> DataFrame:
     """The rows whose row_col (from monotonically_increasing_id) is among ids (one column), or is not.
 

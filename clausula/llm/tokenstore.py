@@ -8,9 +8,9 @@ is the number of set bits before), and by slot a 32-bit fingerprint of the key,
 one index file, a few bit tests, one fingerprint comparison and one ranged read. The manifest names the files and how
 many ids come before each. Files get their names by a rename, after they are whole, so a task that runs again is harmless.
 
-Words between ASCII white space are encoded apart and remembered (about `cache_words` for each Python worker): the
-tokenizer's own splitting never crosses white space, so the ids are those of the whole text. This suits tokenizers whose
-lower-casing, pattern and word ends are those of the file used here; `words=False` encodes texts whole, for any other.
+Plain texts are cut into the tokenizer's own pieces by array operations; distinct pieces are encoded once and remembered
+(up to about `cache_pieces` for each Python worker). This suits tokenizers whose lower-casing, pattern and word ends are
+those of the file used here, which a probe text finds out; texts go whole to any other tokenizer, as do texts with other characters.
 
 Defined results: null text: as empty, so the end id alone; bytes that are not UTF-8 become U+FFFD; a null id sorts first;
 rows of equal ids are kept as their 1st, 2nd, ... occurrence, ordered by a hash of the text. Empty table: no rows.
@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -36,25 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from clausula.llm.common import blobs, chunks, parts, shared_dir, small_batches, written
+from clausula.llm.common import blobs, chunks, mixed_keys, padded, parts, shared_dir, small_batches, span_keys, written
 
 HEADER = "<4sHHQ"
 HEADER_BYTES = struct.calcsize(HEADER)
 MAGIC = b"CLTK"
 
 
-class _Numbers(dict):
-    """Numbers for words, in the order in which they come; the new ones are listed."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-
 class _Rows:
     """Rows of ids of different lengths, one after the other."""
 
@@ -77,88 +64,158 @@ class _Rows:
         return self.flat[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
+#: Kinds of bytes in plain text.
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+LEAD = 0xC3  # of the letters and signs from U+00C0 to U+00FF
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, ODD, np.uint8)
+    for c in range(0x21, 0x7F):
+        kinds[c] = LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else OTHER
+    kinds[[*range(9, 14), 32]] = SPACE
+    return kinds
+
+
+KINDS = _kinds()
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
+def plain_pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts text as the word tokenizer's normaliser and pattern do, by array operations.
+
+    Letters of ASCII and Latin-1 in runs, digits one by one, other signs in runs, and the contractions 's 't 're 've 'm
+    'll 'd, whose apostrophe begins a run. Returns the padded lower-cased bytes, the pieces' starts and lengths, and flags
+    of bytes that this does not hold for (any other character, control characters, bytes that are not UTF-8).
+    """
+    data = padded(text)
+    low, kind = LOWER[data], KINDS[data]
+    kind[-16:] = SPACE
+    lead = np.flatnonzero(data[:-16] == LEAD)
+    if len(lead):
+        tail = data[lead + 1]
+        good = (tail >= 0x80) & (tail < 0xC0)
+        lead, tail = lead[good], tail[good]
+        kind[lead] = kind[lead + 1] = np.where((tail == 0x97) | (tail == 0xB7), OTHER, LETTER)
+        upper = lead[(tail < 0x9F) & (tail != 0x97)]
+        low[upper + 1] += 0x20
+    before = np.r_[np.uint8(SPACE), kind[:-1]]
+    edge = kind != before
+    edge |= kind == DIGIT
+    quote = np.flatnonzero((low[:-2] == 0x27) & (before[:-2] != OTHER))
+    if len(quote):
+        one, two = low[quote + 1], low[quote + 2]
+        size = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 2, np.where((((one == 0x72) | (one == 0x76)) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C)), 3, 0))
+        quote, size = quote[size > 0], size[size > 0]
+        edge[quote + 1] = False
+        edge[quote + size] = True
+    at = np.flatnonzero(edge)
+    lengths = np.diff(np.r_[at, len(data)])
+    own = kind[at] != SPACE
+    return low, at[own], lengths[own], kind[:-16] == ODD
+
+
 class WordEncoder:
-    """Ids of many texts at once, by way of their distinct words and, for plain words, of these words' distinct pieces."""
+    """Ids of many texts at once, by way of the distinct pieces that the tokenizer cuts them into.
+
+    Plain texts are cut here by array operations and their new pieces encoded by the tokenizer's model, many in one call;
+    texts with other characters or special tokens go to the tokenizer whole. Whether this gives the same ids with the given file is
+    tried out on a probe text first: if not, every text goes to the tokenizer whole.
+    """
 
-    #: Words of these characters alone are lower-cased and cut here, as the tokenizer file's own pattern does it; others are left to the tokenizer.
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     WORD_END = "</w>"
+    PROBE = "It's we'll THEY'RE 'tis o'clock, 'S'd'M!'t isn't; a1b22 (x)... --Ünïté Straße ÀÞ×÷ß ÿ\n\t4.5% #tag_x \"quoted.\" I've 'RE"
 
-    def __init__(self, tokenizer_file: str, cache_words: int = 250_000, words: bool = True):
+    def __init__(self, tokenizer_file: str, cache_pieces: int = 1_000_000, words: bool = True):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.cache_words, self.words = cache_words, words
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.vocabulary = max(vocabulary.values()) + 1
-        self.specials = [str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
+        self.cache_pieces = cache_pieces
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
-        self.special_start = os.path.commonprefix(self.specials)
-        self.numbers, self.rows, self.row_of = _Numbers(), _Rows(), np.zeros(0, np.int64)
-        self.pieces, self.piece_rows = _Numbers(), _Rows()
-
-    def _one(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn_pieces(self) -> None:
-        """New pieces are encoded in one text, at white space; each ends with a token that ends a word."""
-        fresh, self.pieces.new = self.pieces.new, []
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            ids = np.array(self._one(" ".join(part)), np.uint32)
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special_start = os.path.commonprefix(specials).encode() if specials else None
+        self._forget()
+        self.pieces = words and self._pieces_will_do(tokenizer_file)
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.rows, self.first, self.second = _Rows(), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _pieces_will_do(self, tokenizer_file: str) -> bool:
+        # the model and its bytes alone: pieces are normalised and cut already
+        with open(tokenizer_file, encoding="utf-8") as source:
+            about = json.load(source)
+        if about.get("model", {}).get("end_of_word_suffix") != self.WORD_END:
+            return False
+        steps = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        about |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
+        self.bare = Tokenizer.from_str(json.dumps(about))
+        found = self._cut([self.PROBE.encode()])
+        return found is not None and found[0].tolist() == self._one(self.PROBE.encode()).tolist()
+
+    def _one(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, pieces: list[bytes], first: np.ndarray, second: np.ndarray) -> None:
+        """New pieces are encoded at white space, many in a text; each ends with a token that ends a word."""
+        for i in range(0, len(pieces), 4096):
+            part = b" ".join(pieces[i : i + 4096]).decode()
+            ids = np.array(self.bare.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(part) or last[-1] + 1 != len(ids):
-                rows = [self._one(p) for p in part]
+            if len(last) != len(pieces[i : i + 4096]) or last[-1] + 1 != len(ids):
+                rows = [self.bare.encode(p.decode(), add_special_tokens=False).ids for p in pieces[i : i + 4096]]
                 ids, last = np.array([x for row in rows for x in row], np.uint32), np.cumsum([len(r) for r in rows]) - 1
-            self.piece_rows.add(ids, np.diff(np.r_[-1, last]))
-
-    def _learn(self) -> None:
-        fresh, self.numbers.new = self.numbers.new, []
-        if not fresh:
-            return
-        cut: list[int] = []
-        counts: list[int] = []
-        odd: list[int] = []
-        number, plain, pieces = self.pieces.__getitem__, self.PLAIN.fullmatch, self.PIECE.findall
-        for i, word in enumerate(fresh):
-            text = word.decode("utf-8", "replace")
-            if plain(text) and (self.special_start not in text or not any(x in text for x in self.specials)):
-                found = pieces(text.lower())
-                cut += map(number, found)
-                counts.append(len(found))
-            else:
-                odd.append(i)
-        self._learn_pieces()
-        ids, ends = self.piece_rows.joined(np.array(cut, np.int64))
-        row = np.full(len(fresh), -1, np.int64)
-        base = len(self.rows.sizes)
-        row[odd] = base + len(counts) + np.arange(len(odd))
-        row[row < 0] = base + np.arange(len(counts))
-        self.rows.add(ids, np.diff(ends[np.r_[0, np.cumsum(counts, dtype=np.int64)]]))
-        found = [self._one(fresh[i].decode("utf-8", "replace")) for i in odd]
-        self.rows.add(np.array([x for ids in found for x in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
-        self.row_of = np.concatenate([self.row_of, row])
+            self.rows.add(ids, np.diff(np.r_[-1, last]))
+        self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
+
+    def _cut(self, texts: list[bytes], pieces: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids in a row and how many each text has; None if two pieces share a hash. The texts are plain; pieces: of them joined by line ends."""
+        low, starts, lengths, _ = pieces or plain_pieces(b"\n".join(texts))
+        if len(self.known) > self.cache_pieces:
+            self._forget()
+        first, second = span_keys(low, starts, lengths)
+        keys, some, which = np.unique(mixed_keys(first, second), return_index=True, return_inverse=True)
+        row = np.array([self.known.get(k, -1) for k in keys.tolist()], np.int64)
+        fresh = np.flatnonzero(row < 0)
+        if len(fresh):
+            row[fresh] = len(self.known) + np.arange(len(fresh))
+            at = some[fresh]
+            flat = low.tobytes()
+            self._learn([flat[a:b] for a, b in zip(starts[at].tolist(), (starts[at] + lengths[at]).tolist())], first[at], second[at])
+            self.known.update(zip(keys[fresh].tolist(), row[fresh].tolist()))
+        rows = row[which]
+        if (self.first[rows] != first).any() or (self.second[rows] != second).any():
+            return None
+        ids, ends = self.rows.joined(rows)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        edges = ends[np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])]
+        return ids, np.diff(edges)
 
     def encode(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and how many each text has."""
-        if not self.words:
-            ids = [np.array(self.tokenizer.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids + [end_id] * (end_id is not None), np.uint32) for t in texts]
-            return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.array([len(x) for x in ids], np.int64)
-        if len(self.numbers) > self.cache_words:
-            self.numbers, self.rows, self.row_of = _Numbers(), _Rows(), np.zeros(0, np.int64)
-        if len(self.pieces) > self.cache_words:
-            self.pieces, self.piece_rows = _Numbers(), _Rows()
-        numbers, counts = [], []
-        for text in texts:
-            words = (text or b"").split()
-            numbers.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
-            counts.append(len(words))
-        self._learn()
-        ids, ends = self.rows.joined(self.row_of[np.concatenate(numbers) if numbers else np.zeros(0, np.int32)])
-        edges = ends[np.r_[0, np.cumsum(counts, dtype=np.int64)]]
-        lengths = np.diff(edges)
+        texts = [t or b"" for t in texts]
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = None
+        if self.pieces:
+            pieces = plain_pieces(b"\n".join(texts))
+            edges = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)]
+            count = np.r_[0, np.cumsum(pieces[3])]
+            count = count[np.minimum(edges, len(count) - 1)]
+            plain = [i for i, (t, n) in enumerate(zip(texts, np.diff(count).tolist())) if not n and (self.special_start is None or self.special_start not in t)]
+            cut = self._cut([texts[i] for i in plain], pieces if len(plain) == len(texts) else None) if plain else None
+        if cut and len(plain) == len(texts):
+            ids, lengths = cut
+        else:
+            found: list[np.ndarray | None] = [None] * len(texts)
+            if cut:
+                for i, part in zip(plain, np.split(cut[0], np.cumsum(cut[1])[:-1])):
+                    found[i] = part
+            found = [self._one(t) if x is None else x for t, x in zip(texts, found)]
+            ids, lengths = np.concatenate(found), np.array([len(x) for x in found], np.int64)
         if end_id is not None:
-            ids, lengths = np.insert(ids, edges[1:], end_id), lengths + 1
+            ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
         return ids, lengths
 
 
@@ -248,7 +305,7 @@ def _put(files: pa.fs.FileSystem, path: str, data: bytes) -> None:
 
 def _keyed(rows: DataFrame, indexes: int) -> DataFrame:
     """id and nth to two hashes of the key and the index file it belongs to."""
-    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("#"), F.col("nth").cast("string"))
+    key = F.concat(F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null")), F.lit("#"), F.col("nth").cast("string"))
     rows = rows.withColumn("first", F.xxhash64(key)).withColumn("second", F.xxhash64(F.lit("fingerprint"), key))
     return rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), key), F.lit(indexes)).cast("int"))
 

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -26,7 +27,8 @@ def test_words_give_the_ids_of_whole_texts():
 
 def test_every_plain_character_inside_words():
     tokenizer, encoder = Tokenizer.from_file(FILE), tokenstore.WordEncoder(FILE)
-    plain = [c for c in map(chr, range(0x250)) if encoder.PLAIN.fullmatch(c)]
+    plain = [c for c in map(chr, range(0x250)) if not tokenstore.plain_pieces(c.encode())[3].any() and not c.isspace()]
+    assert encoder.pieces and len(plain) == 94 + 64
     some = ["straße", "GROßE Maße, weiß's"] + [f for c in plain for f in (f"stra{c}e", f"STRA{c}E", f"{c}e", f"e{c}", f"1{c}2", f"a{c}{c}b", f".{c}!", f"it'{c}s")]
     ids, lengths = encoder.encode([t.encode() for t in some])
     found = [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
@@ -34,6 +36,28 @@ def test_every_plain_character_inside_words():
     assert [t for t, f, w in zip(some, found, want) if f != w] == []
 
 
+def test_random_plain_and_odd_texts_like_the_library():
+    rng, tokenizer, encoder = random.Random(5), Tokenizer.from_file(FILE), tokenstore.WordEncoder(FILE)
+    letters = "abESTDMRVLL''''\"!.,?-#19 \n\t\rÄßé×÷ÿ" + "’ \x00\x85́"
+    some = ["".join(rng.choice(letters[: rng.choice([10, 30, 35, len(letters)])]) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    ids, lengths = encoder.encode([t.encode() for t in some], 7)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids + [7] for t in some]
+    broken = [b"a\xc3", b"\xc3 b", b"x\xbf", b"\xff'\xc3\xa9", b"it's \xc3\xc3\xa9"]
+    ids, lengths = encoder.encode(broken)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
+
+
+def test_other_tokenizers_get_texts_whole(tmp_path):
+    with open(FILE, encoding="utf-8") as source:
+        about = json.load(source)
+    about["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(about))
+    encoder, tokenizer = tokenstore.WordEncoder(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    assert not encoder.pieces
+    ids, _ = encoder.encode([b"The CAT's"])
+    assert ids.tolist() == tokenizer.encode("The CAT's", add_special_tokens=False).ids
+
+
 def test_round_trip(spark):
     tokenizer, some = Tokenizer.from_file(FILE), texts()
     rows = [(i * 3, t, "f", 1) for i, t in enumerate(some)] + [(3, "again", None, None), (3, "again", None, None), (None, "no id", None, None)]
