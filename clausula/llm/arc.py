@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, parts, shared_dir, written
+from clausula.llm.common import blobs, parts, place, shared_dir, written
 
 #: The fields of the header lines of ARC versions 1 and 2.
 FIELDS = {
@@ -251,7 +251,7 @@ def archive_pages(pages: DataFrame, folder: str, key_col: str = "page_id", url_c
                     count += 1
                 packed = zlib.compressobj(level, zlib.DEFLATED, 31)
                 out.write(packed.compress(convert_record(fields, content, collection, original)) + packed.flush())
-        files.move(draft, path)
+        place(files, draft, path)
         yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([count], pa.int64())})
 
     return written(joined.mapInArrow(run, "path string, records long"), "archives")

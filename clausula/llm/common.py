@@ -24,20 +24,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the session names none (tests on one machine), a temporary folder becomes it.
+    Where the session names none, a temporary folder becomes it on a single machine (local master); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="clausula-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def place(files: pa.fs.FileSystem, draft: str, path: str) -> None:
+    """Gives a whole file its name. Where a store refuses to replace a file that an earlier try of the task left, that one stays: it is the same."""
+    try:
+        files.move(draft, path)
+    except OSError:
+        if files.get_file_info(path).type != pa.fs.FileType.File:
+            raise
+        files.delete_file(draft)
+
+
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and the loss of an executor costs nothing."""
     spark = df.sparkSession
     path = shared_dir(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -141,7 +153,7 @@ def marked_rows(rows: DataFrame, ids: DataFrame, keep: bool, row_col: str = "nd_
         draft = f"{base}/.{part}-{uuid.uuid4().hex}"
         with files.open_output_stream(draft, compression=None) as out:
             out.write(np.sort(group.column("row").to_numpy()).astype("<i8").tobytes())
-        files.move(draft, f"{base}/{part}.ids")
+        place(files, draft, f"{base}/{part}.ids")
         return pa.table({"part": pa.array([part], pa.int64())})
 
     row = ids.columns[0]

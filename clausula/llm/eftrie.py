@@ -1,22 +1,26 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Level 1 is the vocabulary: word hashes in ascending order (a word's id is its rank) and counts. On the levels for pairs
-and triples a context's successors lie in a row in ascending order of id; where each context's row begins is a monotone
-sequence of pointers in Elias-Fano code, 2 bits or little more for each context. Beside each n-gram is its smoothed
-log probability in 16 bits, beside each context its back-off weight in 16 bits. A lookup decodes two neighbouring
-pointers and searches the successor within its context; the n-gram's place is the context of the next level.
-
-Smoothing: pairs and triples seen `least` times or more keep their count less `discount`; what is left over of a context
-goes to the distribution of one word less, which for single words is (c + 0.1) / (N + 0.1 (V + 1)). A document's first
-word follows its boundary, which is the end token.
-
-Counting covers every training token: tasks count words, then pairs, then triples, of batches, and send packed counts
-by key; n-grams that cannot reach `least` because a part of them does not are left out where they are met. Levels are
-written by range of context, a segment for each task, and read where the scores are made: memory-mapped if the shared
-folder is a file system, else into memory.
+Level 1 is the vocabulary: word hashes in ascending order with each word's id (its rank by falling count, so ids of
+common words are small) and count. On the levels for pairs and triples a context's successors lie in a row in ascending
+order of id; where each context's row begins is a monotone sequence of pointers in Elias-Fano code, 2 bits or little
+more for each context. Beside each n-gram is its smoothed (discounted) log probability in 16 bits, beside each context
+the weight of the distribution of one word less in 16 bits. A lookup decodes two neighbouring pointers and searches the
+successor within its context; the n-gram's place is the context of the next level.
+
+Smoothing is interpolated absolute discounting over all n-grams, those seen once included: of an n-gram's count `discount`
+is taken off; what is left over of a context goes to the distribution of one word less, which for single words is
+(c + 0.1) / (N + 0.1 (V + 1)). A document's first word follows its boundary, which is the end token.
+
+Texts are cut into words once: each batch becomes one row of a written table, with its distinct word hashes and its tokens
+as numbers of these. Counting reads that table, and so do the scores. Each batch sends its distinct pairs with what follows
+them, counted and packed, to the segment of the pair; ranges of pairs come from the words' counts, so that segments are of
+about equal size, and a very frequent first word spreads over many. A task merges one segment and writes both levels of it.
+Segments are opened when a batch asks for them: memory-mapped if the shared folder is a file system, else read, of which
+a worker keeps the last few (`OPEN_BYTES`).
 
 Defined results: null text: as empty, so the end token alone. Null ids: held_out null, not learned from. Repeated rows
-count and score each. No training rows: N and V are 0. Empty table: no rows. Words are told apart by 64-bit hashes.
+count and score each. No training rows: N and V are 0. Empty table: no rows. Words are told apart by 64-bit hashes;
+2**32 different words or more are an error. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,31 +28,29 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections import defaultdict
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, chunks, parts, shared_dir, written
+from clausula.llm.common import blobs, chunks, lean, mixed_keys, padded, parts, place, shared_dir, small_batches, span_keys, written
 
-END = b"\n"
-SEED = 8
+LEAST, OPEN_BYTES = 1e-12, 256 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
     order: int = 3
-    least: int = 2
     discount: float = 0.75
     chunk_bytes: int = 4 << 20
-    tokens_per_part: int = 4_000_000
+    tokens_per_part: int = 2_000_000
+    words_per_part: int = 4_000_000
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -103,15 +105,30 @@ class EliasFano:
         high = _select(self.words, self.before, i) - i
         return (high << self.low_bits) + self.low[i].astype(np.int64) if self.low_bits else high
 
+    def parts(self, name: str) -> tuple[dict, dict[str, np.ndarray]]:
+        """Meta and arrays for a file, under keys that begin with name."""
+        return {f"{name}_n": self.n, f"{name}_bits": self.low_bits}, {f"{name}_low": self.low, f"{name}_words": self.words, f"{name}_before": self.before}
+
+    @classmethod
+    def of(cls, name: str, meta: dict, arrays: dict[str, np.ndarray]) -> EliasFano:
+        return cls(meta[f"{name}_n"], meta[f"{name}_bits"], arrays[f"{name}_low"], arrays[f"{name}_words"], arrays[f"{name}_before"])
+
 
 class Codes:
-    """Numbers of a known range in 16 bits."""
+    """Probabilities as logarithms in 16 bits."""
 
-    @staticmethod
-    def pack(values: np.ndarray) -> tuple[np.ndarray, float, float]:
-        low, high = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
+    def __init__(self, codes: np.ndarray, low: float, step: float):
+        self.codes, self.low, self.step = codes, low, step
+
+    @classmethod
+    def pack(cls, probabilities: np.ndarray) -> Codes:
+        logs = np.log10(np.clip(probabilities, LEAST, 1))
+        low, high = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
         step = (high - low) / 65535 or 1.0
-        return np.rint((values - low) / step).astype(np.uint16), low, step
+        return cls(np.rint((logs - low) / step).astype(np.uint16), low, step)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return 10 ** (self.codes[i] * self.step + self.low)
 
 
 # ---------------------------------------------------------------- files
@@ -132,7 +149,7 @@ def _write(folder: str, name: str, meta: dict, arrays: dict[str, np.ndarray]) ->
         out.write(head)
         for array in arrays.values():
             out.write(array.tobytes() + b"\0" * (-array.nbytes % 8))
-    files.move(draft, f"{base}/{name}")
+    place(files, draft, f"{base}/{name}")
 
 
 def _read(folder: str, name: str) -> tuple[dict, dict[str, np.ndarray]]:
@@ -148,353 +165,485 @@ def _read(folder: str, name: str) -> tuple[dict, dict[str, np.ndarray]]:
     return meta, {k: raw[end + at : end + at + n * np.dtype(d).itemsize].view(d) for k, (d, n, at) in meta["arrays"].items()}
 
 
-class Vocabulary:
-    """Word hashes to ids and counts; segments by range of hash."""
-
-    def __init__(self, folder: str, segments: list[dict]):
-        self.segments = sorted(segments, key=lambda s: s["first"])
-        self.starts = np.array([s["first"] for s in self.segments], np.int64)
-        self.files = [_read(folder, s["name"])[1] for s in self.segments]
-        sizes = [s["n"] for s in self.segments]
-        self.offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        self.size = int(self.offsets[-1])
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """-1 for unknown ones."""
-        found = np.full(len(hashes), -1, np.int64)
-        where = np.searchsorted(self.starts, hashes, "right") - 1
-        for s, file in enumerate(self.files):
-            own = np.flatnonzero(where == s)
-            if len(own):
-                at = np.minimum(np.searchsorted(file["hash"], hashes[own]), len(file["hash"]) - 1)
-                found[own] = np.where(file["hash"][at] == hashes[own], at + self.offsets[s], -1)
-        return found
-
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """0 for -1."""
-        found = np.zeros(len(ids), np.int64)
-        where = np.searchsorted(self.offsets, ids, "right") - 1
-        for s, file in enumerate(self.files):
-            own = np.flatnonzero((where == s) & (ids >= 0))
-            found[own] = file["count"][ids[own] - self.offsets[s]]
-        return found
-
-
-class Level:
-    """The n-grams of one length; segments by range of context."""
-
-    def __init__(self, folder: str, segments: list[dict]):
-        self.segments = sorted(segments, key=lambda s: s["first"])
-        self.starts = np.array([s["first"] for s in self.segments], np.int64)
-        self.files = [_read(folder, s["name"]) for s in self.segments]
-        self.pointers = [EliasFano(m["pointers"], m["low_bits"], a["low"], a["words"], a["before"]) for m, a in self.files]
-        self.offsets = np.r_[0, np.cumsum([s["n"] for s in self.segments])].astype(np.int64)
-
-    def rows(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where contexts' successors lie: segment (-1: none), begin and end, and log back-off weight (0 for unknown contexts)."""
-        n = len(context)
-        segment, low, high, weight = np.full(n, -1, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-        for s, own in _by_segment(np.searchsorted(self.starts, context, "right") - 1, len(self.files)):
-            meta, arrays = self.files[s]
-            own = own[context[own] - self.starts[s] < meta["pointers"] - 1]
-            at = context[own] - self.starts[s]
-            low[own], high[own] = self.pointers[s][at], self.pointers[s][at + 1]
-            some = high[own] > low[own]
-            segment[own[some]] = s
-            weight[own[some]] = arrays["weight"][at[some]] * meta["weight_step"] + meta["weight_low"]
-        return segment, low, high, weight
-
-    def search(self, segment: np.ndarray, low: np.ndarray, high: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place (-1: absent) and log probability of words among successors."""
-        place, value = np.full(len(word), -1, np.int64), np.zeros(len(word))
-        for s, own in _by_segment(segment, len(self.files)):
-            meta, arrays = self.files[s]
-            successors, at, end, sought = arrays["word"], low[own], high[own], word[own].astype(np.uint32)
-            size = end - at
-            # the last place whose word is not above the sought one, by halving steps of equal size for all
-            step = 1 << max(0, int(size.max()).bit_length() - 1)
-            top = len(successors) - 1
-            while step:
-                to = at + step
-                at = np.where((to < end) & (successors[np.minimum(to, top)] <= sought), to, at)
-                step >>= 1
-            hit = successors[at] == sought
-            place[own[hit]] = at[hit] + self.offsets[s]
-            value[own[hit]] = arrays["value"][at[hit]] * meta["value_step"] + meta["value_low"]
-        return place, value
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, log probability and back-off weight of n-grams."""
-        segment, low, high, weight = self.rows(context)
-        return *self.search(segment, low, high, word), weight
-
-
-def _by_segment(segment: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The indices of each segment that occurs."""
-    order = np.argsort(segment.astype(np.int16), kind="stable")
-    edges = np.searchsorted(segment[order], np.arange(n + 1))
-    for s in range(n):
-        if edges[s] < edges[s + 1]:
-            yield s, order[edges[s] : edges[s + 1]]
-
-
 @dataclass(frozen=True)
 class Manifest:
-    """All that a task needs to open the model: bounded by the number of segments."""
+    """All that a task needs to open the model; bounded by the number of its files."""
 
     folder: str
-    total: int
-    vocabulary: list[dict]
-    levels: list[list[dict]]
+    order: int
+    total: int = 0
+    size: int = 0
+    end: int = -1  # the end token's id
+    words: list[tuple[str, int]] = field(default_factory=list)  # file and first hash
+    counts: list[tuple[str, int]] = field(default_factory=list)  # file and first id
+    bounds: list[int] = field(default_factory=list)  # of pairs (first id << 32 | second id), between segments
+    segments: list[int] = field(default_factory=list)  # those that have pairs
+    shared: list[tuple[int, int]] = field(default_factory=list)  # first words at a segment's edges: id, different successors in all segments
+
+
+class Files:
+    """Files of a model, opened when asked for; what is not memory-mapped is closed again beyond OPEN_BYTES."""
+
+    def __init__(self, folder: str):
+        self.folder, self.open, self.bytes = folder, OrderedDict(), 0
+
+    def __call__(self, name: str, make=lambda meta, arrays: (meta, arrays)):
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name][0]
+        meta, arrays = _read(self.folder, name)
+        size = sum(a.nbytes for a in arrays.values() if not isinstance(a, np.memmap))
+        while self.open and self.bytes + size > OPEN_BYTES:
+            self.bytes -= self.open.popitem(last=False)[1][1]
+        self.open[name] = made, _ = make(meta, arrays), size
+        self.bytes += size
+        return made
+
+
+def _by_segment(segment: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The indices of each segment that occurs."""
+    order = np.argsort(segment, kind="stable")
+    found, edges = np.unique(segment[order], return_index=True)
+    for s, own in zip(found.tolist(), np.split(order, edges[1:])):
+        yield s, own
+
+
+def _search(successors: np.ndarray, low: np.ndarray, high: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Where each sought one is among successors[low:high]; -1 if it is not. Halving steps of equal size for contexts of like sizes."""
+    found, size = np.full(len(sought), -1, np.int64), high - low
+    for least, most in ((1, 1), (2, 8), (9, 256), (257, 1 << 62)):
+        own = np.flatnonzero((size >= least) & (size <= most))
+        if not len(own):
+            continue
+        at, end, want = low[own], high[own], sought[own]
+        step = (1 << int(size[own].max()).bit_length()) >> 1 if least > 1 else 0
+        while step:
+            to = at + step
+            inside = to < end
+            at = np.where(inside & (successors[np.where(inside, to, at)] <= want), to, at)
+            step >>= 1
+        hit = successors[at] == want
+        found[own[hit]] = at[hit]
+    return found
+
+
+class Segment:
+    """Pairs of one range with their successors: the levels for pairs and triples."""
+
+    def __init__(self, meta: dict, arrays: dict[str, np.ndarray]):
+        self.first, self.order = meta["first"], meta["order"]
+        self.second, self.pairs = arrays["second"], EliasFano.of("pairs", meta, arrays)
+        self.value, self.weight = (Codes(arrays[k], *meta[k]) for k in ("pair_value", "word_weight"))
+        if self.order > 2:
+            self.third, self.triples = arrays["third"], EliasFano.of("triples", meta, arrays)
+            self.deep_value, self.deep_weight = (Codes(arrays[k], *meta[k]) for k in ("triple_value", "pair_weight"))
+
+    def find_pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places, -1 where absent."""
+        context = first - self.first
+        inside = np.flatnonzero((context >= 0) & (context < self.pairs.n - 1))
+        found, context = np.full(len(first), -1, np.int64), context[inside]
+        # contexts come again and again, and one's end is the next one's beginning
+        known, which = np.unique(context, return_inverse=True)
+        found[inside] = _search(self.second, self.pairs[known][which], self.pairs[known + 1][which], second[inside].astype(np.uint32))
+        return found
 
-
-_OPEN: dict[str, Trie] = {}
+    def find_triples(self, pair: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """Places, -1 where absent. pair: places of pairs."""
+        known, which = np.unique(pair, return_inverse=True)
+        return _search(self.third, self.triples[known][which], self.triples[known + 1][which], third.astype(np.uint32))
 
 
 class Trie:
     def __init__(self, manifest: Manifest):
-        self.total = manifest.total
-        self.vocabulary = Vocabulary(manifest.folder, manifest.vocabulary)
-        self.levels = [Level(manifest.folder, s) for s in manifest.levels]
-
-    @staticmethod
-    def opened(manifest: Manifest) -> Trie:
-        key = f"{manifest.folder}/{len(manifest.levels)}"
-        if key not in _OPEN:
-            _OPEN.clear()
-            _OPEN[key] = Trie(manifest)
-        return _OPEN[key]
+        self.manifest, self.files = manifest, Files(manifest.folder)
+        self.hash_starts = np.array([h for _, h in manifest.words], np.int64)
+        self.id_starts = np.array([i for _, i in manifest.counts], np.int64)
+        self.bounds, self.segments = np.array(manifest.bounds, np.int64), set(manifest.segments)
+        self.shared = np.array(sorted(manifest.shared), np.int64).reshape(-1, 2)
+
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) and counts of distinct words."""
+        order = np.argsort(hashes)
+        ids, counts, ascending = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), hashes[order]
+        for s, own in _by_segment(np.searchsorted(self.hash_starts, ascending, "right") - 1):
+            if s >= 0:
+                _, file = self.files(self.manifest.words[s][0])
+                at = np.minimum(np.searchsorted(file["hash"], ascending[own]), len(file["hash"]) - 1)
+                hit = file["hash"][at] == ascending[own]
+                ids[order[own[hit]]], counts[order[own[hit]]] = file["id"][at[hit]], file["count"][at[hit]]
+        return ids, counts
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(ids), np.int64)
+        for s, own in _by_segment(np.searchsorted(self.id_starts, ids, "right") - 1):
+            found[own] = self.files(self.manifest.counts[s][0])[1]["count"][ids[own] - self.id_starts[s]]
+        return found
 
     def single(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.1) / (self.total + 0.1 * (self.vocabulary.size + 1)))
-
-    def walk(self, known: np.ndarray, tokens: np.ndarray, first: np.ndarray, often: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level, each token's place, log probability and back-off weight. known: ids of the distinct words; often: which of these n-grams may hold."""
-        sought, before, context = known[tokens], np.where(first, 0, np.r_[0, tokens[:-1]]), None
-        wanted = often[tokens]
-        for level in self.levels:
-            if context is None:  # the end token is the distinct word 0
-                segment, low, high, weight = (x[before] for x in level.rows(known))
-            else:
-                n, own = len(tokens), np.flatnonzero(context >= 0)
-                segment, low, high, weight = np.full(n, -1, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-                segment[own], low[own], high[own], weight[own] = level.rows(context[own])
-            place, value = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens))
-            own = np.flatnonzero(wanted & (segment >= 0))
-            place[own], value[own] = level.search(segment[own], low[own], high[own], sought[own])
-            yield place, value, weight
-            # the n-gram that ended at the token before is the next level's context
-            context = np.where(first, -1, np.r_[-1, place[:-1]])
-
-    def scores(self, known: np.ndarray, tokens: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token's probability, by single words and by the model; first marks each document's first token."""
-        counts = self.vocabulary.counts(known)
-        base = self.single(counts)[tokens]
-        value = base
-        for place, found, weight in self.walk(known, tokens, first, counts >= least):
-            value = np.where(place >= 0, found, weight + value)
-        return base, value
+        return (counts + 0.1) / (self.manifest.total + 0.1 * (self.manifest.size + 1))
+
+    def segment(self, part: int) -> Segment:
+        return self.files(f"grams-{part:06d}", Segment)
+
+    def part_of(self, first: np.ndarray, second: np.ndarray | int) -> np.ndarray:
+        return np.searchsorted(self.bounds, first << 32 | second, "right")
+
+    def word_weights(self, ids: np.ndarray, counts: np.ndarray, discount: float) -> np.ndarray:
+        """What is left over after each word; 1 for unknown ones."""
+        weight = np.ones(len(ids))
+        known = np.flatnonzero(ids >= 0)
+        edge = np.zeros(len(known), bool)
+        if len(self.shared):
+            at = np.minimum(np.searchsorted(self.shared[:, 0], ids[known]), len(self.shared) - 1)
+            edge = self.shared[at, 0] == ids[known]
+            weight[known[edge]] = discount * self.shared[at[edge], 1] / counts[known[edge]]
+        known = known[~edge]
+        for s, own in _by_segment(self.part_of(ids[known], 0)):
+            if s in self.segments:
+                held = self.segment(s)
+                weight[known[own]] = held.weight[ids[known[own]] - held.first]
+        return weight
+
+    def probabilities(self, ids: np.ndarray, counts: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray, discount: float) -> np.ndarray:
+        """Of three after one and two, for different triples of numbers of words; ids and counts are the words', and one may be -1 for no word."""
+        single = self.single(counts)
+        if self.manifest.order == 1 or not self.manifest.total:
+            return single[three]
+        deep = np.flatnonzero(one >= 0) if self.manifest.order > 2 else np.zeros(0, np.int64)
+        # all pairs that occur: as the last two words, and as contexts
+        n = len(ids)
+        pairs, which = np.unique(np.concatenate([two * n + three, one[deep] * n + two[deep]]), return_inverse=True)
+        first, second = pairs // n, pairs % n
+        place, part, value = np.full(len(pairs), -1, np.int64), np.full(len(pairs), -1, np.int64), np.zeros(len(pairs))
+        weight = np.ones(len(pairs))
+        known = np.flatnonzero((ids[first] >= 0) & (ids[second] >= 0))
+        for s, own in _by_segment(self.part_of(ids[first[known]], ids[second[known]])):
+            if s in self.segments:
+                held, own = self.segment(s), known[own]
+                at = held.find_pairs(ids[first[own]], ids[second[own]])
+                own, at = own[at >= 0], at[at >= 0]
+                place[own], part[own], value[own] = at, s, held.value[at]
+                if self.manifest.order > 2:
+                    weight[own] = held.deep_weight[at]
+        asked = np.unique(first)
+        left = np.ones(n)
+        left[asked] = self.word_weights(ids[asked], counts[asked], discount)
+        shorter = value + left[first] * single[second]
+        last, context = which[: len(three)], which[len(three) :]
+        found = shorter[last]
+        found[deep] *= weight[context]
+        own = np.flatnonzero((place[context] >= 0) & (ids[three[deep]] >= 0))
+        for s, at in _by_segment(part[context[own]]):
+            held, at = self.segment(s), own[at]
+            spot = held.find_triples(place[context[at]], ids[three[deep[at]]])
+            found[deep[at[spot >= 0]]] += held.deep_value[spot[spot >= 0]]
+        return found
 
 
-def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, each token's index into them, and the number of tokens of each text (its end token included)."""
-    number: dict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    number[END]
-    rows, counts = [], []
-    for text in texts:
-        words = (text or b"").lower().split()
-        row = np.empty(len(words) + 1, np.int64)
-        row[:-1] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        row[-1] = 0
-        rows.append(row)
-        counts.append(len(row))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) - (1 << 63) for w in number), np.int64, len(number))
-    return hashes, np.concatenate(rows) if rows else np.zeros(0, np.int64), np.array(counts, np.int64)
-
-
-def _end_hash() -> int:
-    return xxhash.xxh64_intdigest(END, SEED) - (1 << 63)
+_OPEN: dict[str, Trie] = {}
 
 
-def _first_flags(counts: np.ndarray) -> np.ndarray:
-    flags = np.zeros(int(counts.sum()), bool)
-    flags[np.cumsum(counts) - counts] = True
-    return flags
+def _opened(manifest: Manifest) -> Trie:
+    """One model at a time for each worker."""
+    key = f"{manifest.folder}/{len(manifest.words)}/{len(manifest.segments)}"
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = Trie(manifest)
+    return _OPEN[key]
 
 
-# ---------------------------------------------------------------- fitting
+# ---------------------------------------------------------------- tokens
 
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 
-def _range_write(rows: DataFrame, key: str, writer, folder: str) -> list[dict]:
-    """rows in ranges of key, sorted; writer(table arrays) gives meta and arrays for one segment. Returns the segments' summaries."""
-    names = rows.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if found:
-            columns = {k: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in found]) for i, k in enumerate(names)}
-            about, name, meta, arrays = writer(columns, TaskContext.get().partitionId())
-            _write(folder, name, meta, arrays)
-            yield pa.RecordBatch.from_pydict({"about": [json.dumps(about | {"name": name})]})
+def _hashes(first: np.ndarray, second: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return (mixed_keys(first, second) ^ lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
-    n = max(1, parts(rows.sparkSession))
-    out = rows.repartitionByRange(n, key).sortWithinPartitions(*names[:2]).mapInArrow(run, "about string")
-    return [json.loads(r.about) for r in out.collect()]
 
+#: No word is a line end.
+END = int(_hashes(np.array([10], np.uint64), np.zeros(1, np.uint64), np.ones(1, np.int64))[0])
 
-def _write_vocabulary(counts: DataFrame, folder: str) -> list[dict]:
-    def writer(c, part):
-        return {"first": int(c["hash"][0]), "n": len(c["hash"]), "total": int(c["n"].sum())}, f"words-{part:06d}", {}, {"hash": c["hash"], "count": c["n"]}
 
-    return _range_write(counts.select("hash", "n"), "hash", writer, folder)
+def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes (the more frequent the earlier), each token's number among them, and the number of tokens of each text (its end token included)."""
+    texts = [t or b"" for t in texts]
+    data = _LOWER[padded(b"\n".join(texts))]
+    data[-16:] = 32
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    lengths = np.flatnonzero(space & np.r_[False, ~space[:-1]]) - starts
+    edges = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)]
+    ends = np.searchsorted(starts, edges)
+    hashes = np.insert(_hashes(*span_keys(data, starts, lengths), lengths), ends[1:], END)
+    known, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return known[order], rank[which], np.diff(ends) + 1
 
 
-def _write_level(counts: DataFrame, depth: int, manifest: Manifest, settings: Settings, folder: str) -> list[dict]:
-    """counts: context, word, n, all (how often the context is followed), lower (log probability with one word less)."""
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits as their lowest bytes, then the next ones, and so on: these compress."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    def writer(c, part):
-        context, n = c["context"], c["n"].astype(float)
-        first, last = int(context[0]), int(context[-1])
-        pointers = np.r_[np.searchsorted(context, np.arange(first, last + 1)), len(context)].astype(np.int64)
-        kept = (n - settings.discount) / c["all"]
-        total = np.r_[0, np.cumsum(kept)]
-        left = np.clip(1 - (total[pointers[1:]] - total[pointers[:-1]]), 1e-12, 1)
-        own = left[context - first]
-        value, value_low, value_step = Codes.pack(np.log10(kept + own * 10 ** c["lower"]))
-        weight, weight_low, weight_step = Codes.pack(np.log10(left))
-        code = EliasFano.build(pointers)
-        meta = {"pointers": len(pointers), "low_bits": code.low_bits, "value_low": value_low, "value_step": value_step, "weight_low": weight_low, "weight_step": weight_step}
-        return {"first": first, "n": len(context)}, f"grams{depth}-{part:06d}", meta, {"word": c["word"].astype(np.uint32), "value": value, "weight": weight, "low": code.low, "words": code.words, "before": code.before}
 
-    return _range_write(counts.select("context", "word", "n", "all", "lower"), "context", writer, folder)
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
 
 
-def _count_pairs(train: DataFrame, manifest: Manifest, settings: Settings, n_parts: int) -> DataFrame:
-    """context, word, n of the n-grams one longer than the trie has, seen often enough."""
+def _first_flags(counts: np.ndarray) -> np.ndarray:
+    flags = np.zeros(int(counts.sum()), bool)
+    flags[np.cumsum(counts) - counts] = True
+    return flags
+
+
+def tokenised(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_out: Column | None = None) -> DataFrame:
+    """A written table with one row for each batch of texts: ids, held_out, numbers of tokens, distinct hashes, their counts in texts to learn from, tokens."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.opened(manifest)
-        end_id = int(trie.vocabulary.ids(np.array([_end_hash()]))[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = blobs(batch.column(0))
+            keys, held, texts = batch.column(0), batch.column(1), blobs(batch.column(2))
             for a, b in chunks(texts, settings.chunk_bytes):
                 hashes, tokens, counts = token_hashes(texts[a:b])
-                known = trie.vocabulary.ids(hashes)
-                frequent, first, ids = trie.vocabulary.counts(known) >= settings.least, _first_flags(counts), known[tokens]
-                often = frequent[tokens]
-                context = np.where(first, end_id, np.r_[-1, ids[:-1]])
-                often &= np.where(first, True, np.r_[False, often[:-1]])
-                for place, _, _ in trie.walk(known, tokens, first, frequent):
-                    context = np.where(first, -1, np.r_[-1, place[:-1]])
-                    often &= (context >= 0) & (place >= 0)
-                key, n = np.unique((context[often] << 32) | ids[often], return_counts=True)
-                part = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % n_parts
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(n_parts + 1))
-                key, n = key[order], n[order].astype(np.uint32)
-                some = np.flatnonzero(np.diff(edges))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([key[edges[p] : edges[p + 1]].tobytes() for p in some], pa.binary()), pa.array([n[edges[p] : edges[p + 1]].tobytes() for p in some], pa.binary())], ["part", "keys", "n"])
+                learned = np.array([x is False for x in held.slice(a, b - a).to_pylist()])
+                seen = np.bincount(tokens[np.repeat(learned, counts)], minlength=len(hashes))
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), x) for x in (keys.slice(a, b - a), held.slice(a, b - a), pa.array(counts))]
+                packed = [pa.array([x], pa.binary()) for x in (hashes.astype("<i8").tobytes(), _planes(seen), _planes(tokens))]
+                yield pa.RecordBatch.from_arrays([*lists, *packed], ["ids", "held", "counts", "hashes", "seen", "tokens"])
 
-    def merged(group: pa.Table) -> pa.Table:
-        keys, n = (np.frombuffer(b"".join(group.column(k).to_pylist()), t) for k, t in (("keys", np.int64), ("n", np.uint32)))
-        key, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, n).astype(np.int64)
-        kept = total >= settings.least
-        key = key[kept]
-        return pa.table({"context": key >> 32, "word": key & 0xFFFFFFFF, "n": total[kept]})
+    flag = F.lit(False) if held_out is None else held_out
+    rows = docs.select(F.col(id_col).alias("id"), flag.cast("boolean").alias("held"), F.col(text_col).alias("text"))
+    schema = f"ids array<{kind}>, held array<boolean>, counts array<bigint>, hashes binary, seen binary, tokens binary"
+    return written(rows.mapInArrow(lean(run), schema), "tokens", "zstd")
 
-    return train.mapInArrow(pairs, "part int, keys binary, n binary").groupBy("part").applyInArrow(merged, "context long, word long, n long")
 
+# ---------------------------------------------------------------- fitting
 
-def _with_lower(grams: DataFrame, manifest: Manifest, contexts: DataFrame | None) -> DataFrame:
-    """Adds all and lower. contexts: for triples, place and n of the pairs (place is their context), word their last word."""
-    if contexts is not None:
-        grams = grams.join(contexts.select(F.col("place").alias("context"), F.col("n").alias("all"), F.col("word").alias("last")), "context")
-    else:
-        grams = grams.withColumn("all", F.lit(0).cast("long")).withColumn("last", F.lit(-1).cast("long"))
-    deep = contexts is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.opened(manifest)
-        for batch in batches:
-            context, word, total, last = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-            lower = trie.single(trie.vocabulary.counts(word))
-            if deep:
-                place, found, weight = trie.levels[0].find(last, word)
-                lower = np.where(place >= 0, found, weight + lower)
-            else:
-                total = trie.vocabulary.counts(context)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(total), pa.array(lower)], ["context", "word", "n", "all", "lower"])
+def _all(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+    found = [b for b in batches if b.num_rows]
+    return {k: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in found]) for i, k in enumerate(found[0].schema.names)} if found else None
 
-    return grams.select("context", "word", "n", "all", "last").mapInArrow(run, "context long, word long, n long, all long, lower double")
 
+def _write_vocabulary(texts: DataFrame, folder: str, settings: Settings) -> tuple[Manifest, list[tuple[int, int, int]]]:
+    """Level 1, and marks (id, count, tokens before it) at about even steps of the tokens in the order of ids."""
+    spark = texts.sparkSession
 
-def _places(grams: DataFrame, manifest: Manifest) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = Trie.opened(manifest).levels[-1]
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            context, word = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(level.find(context, word)[0]), batch.column(1), batch.column(2)], ["place", "word", "n"])
-
-    return grams.select("context", "word", "n").mapInArrow(run, "place long, word long, n long")
+            for hashes, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = _unplanes(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, "<i8")[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["hash", "n"])
+
+    words = written(texts.select("hashes", "seen").mapInArrow(lean(counted), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
+    size, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not size:
+        return Manifest(folder, settings.order), []
+    if size >= 1 << 32:
+        raise ValueError("too many different words for ids of 32 bits")
+    n_parts = max(1, min(parts(spark), math.ceil(size / 10_000)), math.ceil(size / settings.words_per_part))
+    step = max(1, total // (16 * _n_segments(spark, total, settings)))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), _all(batches)
+        if held:
+            ends = np.cumsum(held["n"])
+            before = ends - held["n"]
+            marks = np.flatnonzero(ends // step != before // step)
+            _write(folder, f"counts-{part:06d}", {}, {"count": held["n"]})
+            _write(folder, f"marks-{part:06d}", {"total": int(ends[-1]), "marks": [[int(i), int(held["n"][i]), int(before[i])] for i in marks]}, {})
+            for i in range(0, len(ends), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(held["hash"][i : i + 100_000]), pa.array(held["n"][i : i + 100_000]), pa.array(np.full(len(ends[i : i + 100_000]), part, np.int32)), pa.array(np.arange(i, min(i + 100_000, len(ends))))], ["hash", "n", "part", "row"])
+
+    order = [F.desc("n"), "hash"]
+    ranks = written(words.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(ranked, "hash long, n long, part int, row long"), "ranks")
+    starts, marks, ahead, behind = {}, [], 0, 0
+    for part, n in sorted(tuple(r) for r in ranks.groupBy("part").count().collect()):
+        about, _ = _read(folder, f"marks-{part:06d}")
+        starts[part] = ahead
+        marks += [(ahead + i, c, behind + b) for i, c, b in about["marks"]]
+        ahead, behind = ahead + n, behind + about["total"]
+
+    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), _all(batches)
+        if held:
+            base = np.array([starts.get(p, 0) for p in range(max(starts) + 1)], np.int64)
+            ids = base[held["part"]] + held["row"]
+            _write(folder, f"words-{part:06d}", {}, {"hash": held["hash"], "id": ids.astype(np.uint32), "count": held["n"]})
+            at = np.flatnonzero(held["hash"] == END)
+            yield pa.RecordBatch.from_pydict({"name": [f"words-{part:06d}"], "first": [int(held["hash"][0])], "end": [int(ids[at[0]]) if len(at) else -1]})
+
+    named = ranks.repartitionByRange(n_parts, "hash").sortWithinPartitions("hash").mapInArrow(by_hash, "name string, first long, end long").collect()
+    names = sorted(((r.name, r.first) for r in named), key=lambda x: x[1])
+    return Manifest(folder, settings.order, total, size, max(r.end for r in named), names, [(f"counts-{p:06d}", s) for p, s in sorted(starts.items())]), marks
+
+
+def _n_segments(spark: SparkSession, total: int, settings: Settings) -> int:
+    return max(1, min(parts(spark), math.ceil(total / 1000)), math.ceil(total / settings.tokens_per_part))
+
+
+def _bounds(marks: list[tuple[int, int, int]], total: int, size: int, n: int) -> list[int]:
+    """Between about n ranges of pairs of about equal numbers of tokens; a word with more than a range's share is cut by its successors, in the proportions of all words."""
+    share, found, next_at = total / n, set(), 0.0
+    ids, before = [0, *(m[0] for m in marks), size], [0, *(m[2] for m in marks), total]
+    for word, count, ahead in marks:
+        if count > share:
+            pieces = math.ceil(count / share)
+            found |= {word << 32, (word + 1) << 32} | {word << 32 | int(x) for x in np.interp(total / pieces * np.arange(1, pieces), before, ids)}
+            next_at = ahead + count + share
+        elif ahead + count > next_at:
+            found.add(word << 32)
+            next_at = ahead + share
+    return sorted(found - {0})
+
+
+def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Different rows of numbers from 0 to size - 1, which of them each row is, and how many rows each is."""
+    bits = max(1, (size - 1).bit_length())
+    if bits * len(columns) <= 63:
+        key = columns[0].astype(np.int64)
+        for c in columns[1:]:
+            key = key << bits | c
+        key, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        return [key >> bits * (len(columns) - 1 - i) & (1 << bits) - 1 for i in range(len(columns))], which, n
+    rows, inner, _ = _distinct(columns[1:], size)
+    key, which, n = np.unique(columns[0].astype(np.int64) << 32 | inner, return_inverse=True, return_counts=True)
+    return [key >> 32, *(r[key & 0xFFFFFFFF] for r in rows)], which, n
+
+
+def _write_segments(texts: DataFrame, manifest: Manifest, marks: list[tuple[int, int, int]], settings: Settings) -> Manifest:
+    spark = texts.sparkSession
+    bounds = _bounds(marks, manifest.total, manifest.size, _n_segments(spark, manifest.total, settings))
+    discount, deep = settings.discount, settings.order > 2
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, codec, cuts = _opened(manifest), pa.Codec("zstd", 1), np.array(bounds, np.int64)
+        for batch in batches:
+            for held, counts, hashes, tokens in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                counts, learned = np.array(counts, np.int64), np.array([x is False for x in held])
+                if not learned.any():
+                    continue
+                hashes = np.frombuffer(hashes, "<i8")
+                tokens = _unplanes(tokens)[np.repeat(learned, counts)].astype(np.int64)
+                first, end = _first_flags(counts[learned]), int(np.flatnonzero(hashes == END)[0])
+                before = np.where(first, end, np.r_[end, tokens[:-1]])
+                # after the end token nothing follows: itself stands for that
+                after = np.where(tokens == end, end, np.r_[tokens[1:], end]) if deep else np.zeros(len(tokens), np.int64)
+                (one, two, three), _, n = _distinct([before, tokens, after], len(hashes))
+                ids, _ = trie.lookup(hashes)
+                key = ids[one] << 32 | ids[two]
+                order = np.argsort(key, kind="stable")
+                key, third, n = key[order], ids[three][order], n[order]
+                edges = np.r_[0, np.searchsorted(key, cuts), len(key)]
+                some = np.flatnonzero(np.diff(edges))
+                packs = []
+                for p in some:
+                    a, b = edges[p], edges[p + 1]
+                    raw = b"".join(_planes(x[a:b]) for x in (key >> 32, key & 0xFFFFFFFF, third, n))
+                    packs.append(codec.compress(raw, asbytes=True))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(edges)[some]), pa.array(packs, pa.binary())], ["part", "n", "pack"])
+
+    def segment(group: pa.Table) -> pa.Table:
+        part, codec = group.column("part")[0].as_py(), pa.Codec("zstd")
+        packs = [np.frombuffer(codec.decompress(p, 16 * n, asbytes=True), np.uint8).reshape(4, -1) for p, n in zip(group.column("pack").to_pylist(), group.column("n").to_pylist())]
+        one, two, third, n = (np.concatenate([_unplanes(p[i]) for p in packs]) for i in range(4))
+        key = one.astype(np.int64) << 32 | two
+        order = np.lexsort((third, key))
+        key, third, n = key[order], third[order], n[order].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (third[1:] != third[:-1])])
+        key, third, n = key[new], third[new], np.add.reduceat(n, new)
+        fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        pair_n, pairs = np.add.reduceat(n, fresh), key[fresh]
+        first = pairs >> 32
+        lowest, highest = int(first[0]), int(first[-1])
+        trie = _opened(manifest)
+        words = np.arange(lowest, highest + 1)
+        word_n = trie.counts(words)
+        edges = np.searchsorted(first, np.arange(lowest, highest + 2))
+        pointers = EliasFano.build(edges)
+        meta, arrays = pointers.parts("pairs")
+        meta |= {"first": lowest, "order": settings.order}
+        arrays["second"] = (pairs & 0xFFFFFFFF).astype(np.uint32)
+        codes = {"pair_value": Codes.pack((pair_n - discount) / word_n[first - lowest]), "word_weight": Codes.pack(discount * np.diff(edges) / word_n)}
+        if deep:
+            going = (key & 0xFFFFFFFF) != manifest.end
+            deep_edges = np.r_[0, np.cumsum(going)][np.r_[fresh, len(key)]]
+            pair_of = np.repeat(np.arange(len(pairs)), np.diff(np.r_[fresh, len(key)]))[going]
+            more, packed = EliasFano.build(deep_edges).parts("triples")
+            meta, arrays = meta | more, arrays | packed | {"third": third[going].astype(np.uint32)}
+            codes |= {"triple_value": Codes.pack((n[going] - discount) / pair_n[pair_of]), "pair_weight": Codes.pack(discount * np.diff(deep_edges) / pair_n)}
+        meta |= {k: [c.low, c.step] for k, c in codes.items()}
+        _write(manifest.folder, f"grams-{part:06d}", meta, arrays | {k: c.codes for k, c in codes.items()})
+        ends = {lowest: int(edges[1]), highest: int(edges[-1] - edges[-2])}
+        return pa.table({"part": pa.array([part], pa.int32()), "word": [list(ends)], "successors": [list(ends.values())]})
+
+    packed = texts.select("held", "counts", "hashes", "tokens").mapInArrow(lean(grams), "part int, n long, pack binary")
+    made = packed.groupBy("part").applyInArrow(segment, "part int, word array<long>, successors array<long>").collect()
+    shared: dict[int, int] = {}
+    for r in made:
+        for word, n in zip(r.word, r.successors):
+            shared[word] = shared.get(word, 0) + n
+    return Manifest(manifest.folder, settings.order, manifest.total, manifest.size, manifest.end, manifest.words, manifest.counts, bounds, sorted(r.part for r in made), sorted(shared.items()))
+
+
+def fit_tokens(texts: DataFrame, settings: Settings = Settings()) -> Manifest:
+    """The trie of the texts of a tokenised() table that are to be learned from, below a new shared folder."""
+    if not 1 <= settings.order <= 3:
+        raise ValueError("order is 1, 2 or 3")
+    manifest, marks = _write_vocabulary(texts, shared_dir(texts.sparkSession, "trie"), settings)
+    return _write_segments(texts, manifest, marks, settings) if settings.order > 1 and manifest.total else manifest
 
 
 def fit(train: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> Manifest:
-    """The trie of all texts of train, below a new shared folder."""
-    if not 1 <= settings.order <= 3:
-        raise ValueError("order is 1, 2 or 3")
-    spark = train.sparkSession
-    folder = shared_dir(spark, "trie")
-    train = train.select(F.col(text_col).alias("text"))
+    """The trie of all texts of train."""
+    rows = train.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
+    return fit_tokens(tokenised(rows, "id", "text", settings), settings)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = blobs(batch.column(0))
-            for a, b in chunks(texts, 4 * settings.chunk_bytes):
-                hashes, tokens, _ = token_hashes(texts[a:b])
-                n = np.bincount(tokens, minlength=len(hashes))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["hash", "n"])
-
-    words = train.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    vocabulary = _write_vocabulary(written(words, "words"), folder)
-    manifest = Manifest(folder, sum(s["total"] for s in vocabulary), vocabulary, [])
-    n_parts = max(parts(spark), math.ceil(manifest.total / settings.tokens_per_part))
-    contexts = None
-    for depth in range(2, settings.order + 1):
-        if not manifest.total:
-            break
-        grams = written(_count_pairs(train, manifest, settings, n_parts), f"grams{depth}")
-        segments = _write_level(written(_with_lower(grams, manifest, contexts), f"lower{depth}"), depth, manifest, settings, folder)
-        manifest = Manifest(folder, manifest.total, vocabulary, [*manifest.levels, segments])
-        if not segments:
-            break
-        if depth < settings.order:
-            contexts = _places(grams, manifest)
-    return manifest
 
+# ---------------------------------------------------------------- scoring
 
-def score_documents(docs: DataFrame, manifest: Manifest, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def _scores(trie: Trie, hashes: np.ndarray, tokens: np.ndarray, counts: np.ndarray, discount: float) -> list[np.ndarray]:
+    """Of each text: tokens known, log10 probability by single words and by the model."""
+    ids, seen = trie.lookup(hashes)
+    first, end = _first_flags(counts), int(np.flatnonzero(hashes == END)[0])
+    before = np.where(first, end, np.r_[end, tokens[:-1]])
+    # what stands two before: nothing (0) for a first token, else a number plus 1
+    two_before = np.where(first, 0, np.r_[0, before[:-1] + 1])
+    (one, two, three), which, _ = _distinct([two_before, before, tokens], len(hashes) + 1)
+    value = np.log10(trie.probabilities(ids, seen, one - 1, two, three, discount))[which]
+    begin = np.cumsum(counts) - counts
+    return [np.add.reduceat(x, begin) for x in ((ids >= 0).astype(np.int64)[tokens], np.log10(trie.single(seen))[tokens], value)]
+
+
+def score_tokens(texts: DataFrame, manifest: Manifest, id_col: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text of a tokenised() table."""
+    kind = texts.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.opened(manifest)
+        trie = _opened(manifest)
         for batch in batches:
-            keys, texts = batch.column(0), blobs(batch.column(1))
-            for a, b in chunks(texts, settings.chunk_bytes):
-                hashes, tokens, counts = token_hashes(texts[a:b])
-                known = trie.vocabulary.ids(hashes)
-                ids = known[tokens]
-                base, value = trie.scores(known, tokens, _first_flags(counts), settings.least)
-                begin = np.cumsum(counts) - counts
-                sums = [np.add.reduceat(x, begin) for x in ((ids >= 0).astype(np.int64), base, value)]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(counts), pa.array(sums[0]), pa.array(np.full(b - a, trie.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            keys, held = batch.column(0), batch.column(1)
+            for i in range(batch.num_rows):
+                counts = batch.column(2)[i].values.to_numpy()
+                known, base, value = _scores(trie, np.frombuffer(batch.column(3)[i].as_py(), "<i8"), _unplanes(batch.column(4)[i].as_py()).astype(np.int64), counts, settings.discount)
+                yield pa.RecordBatch.from_arrays([keys[i].values, held[i].values, pa.array(counts), pa.array(known), pa.array(np.full(len(counts), manifest.total, np.int64)), pa.array(base), pa.array(value)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    out = texts.select("ids", "held", "counts", "hashes", "tokens").mapInArrow(lean(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col)
+
+
+def score_documents(docs: DataFrame, manifest: Manifest, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    return score_tokens(tokenised(docs, id_col, text_col, settings), manifest, id_col, settings).drop("held_out")
 
 
 def model_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Learns from the rows for which held_out is false, scores all."""
-    manifest = fit(docs.where(~held_out), text_col, settings)
-    return score_documents(docs, manifest, id_col, text_col, settings).withColumn("held_out", held_out).select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    texts = tokenised(docs, id_col, text_col, settings, held_out)
+    return score_tokens(texts, fit_tokens(texts, settings), id_col, settings)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from clausula.llm.common import blobs, chunks, mixed_keys, padded, parts, shared_dir, small_batches, span_keys, written
+from clausula.llm.common import blobs, chunks, mixed_keys, padded, parts, place, shared_dir, small_batches, span_keys, written
 
 HEADER = "<4sHHQ"
 HEADER_BYTES = struct.calcsize(HEADER)
@@ -300,7 +300,7 @@ def _put(files: pa.fs.FileSystem, path: str, data: bytes) -> None:
     draft = f"{path}.{uuid.uuid4().hex}"
     with files.open_output_stream(draft, compression=None) as out:
         out.write(data)
-    files.move(draft, path)
+    place(files, draft, path)
 
 
 def _keyed(rows: DataFrame, indexes: int) -> DataFrame:
@@ -342,7 +342,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int |
                     ends = offset + np.cumsum(lengths)
                     yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(order, pa.int64()), pa.array(np.full(b - a, number, np.int32)), pa.array(ends - lengths), pa.array(lengths)], ["id", "nth", "file", "offset", "length"])
                     offset = int(ends[-1])
-        files.move(draft, path)
+        place(files, draft, path)
 
     entries = written(rows.mapInArrow(payload, f"id {kind}, nth long, file int, offset long, length long"), "entries")
     totals = {r.file: (r.ids, r.keys) for r in entries.groupBy("file").agg(F.sum("length").alias("ids"), F.count("*").alias("keys")).collect()}

@@ -12,7 +12,7 @@ from clausula.llm.common import crc_bucket
 SCHEMA = "doc_id long, text string, score string, n int"
 
 
-def brute(rows, order, least=2, discount=0.75):
+def brute(rows, order, least=1, discount=0.75):
     """Probabilities from plain dictionaries."""
     tokens = [(t or "").encode().lower().split() + [b"\n"] for _, t in rows]
     train = [t for (i, _), t in zip(rows, tokens) if i is not None and zlib.crc32(str(i).encode()) % 10]
