@@ -50,7 +50,16 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame._written_at = path
+    return frame
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of written() tables that nothing reads any more: what came of them is itself in files, or with the driver."""
+    for frame in frames:
+        files, base = pa.fs.FileSystem.from_uri(frame._written_at)
+        files.delete_dir(base)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausula.llm.common import written
+from clausula.llm.common import discard, written
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(lowest.withColumnRenamed("low", "b"))
-        edges = written(small.distinct(), "links")
+        last, edges = edges, written(small.distinct(), "links")
+        discard(last)
         before, state = state, _checksum(edges)
         if before == state:
             break

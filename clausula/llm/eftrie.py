@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, chunks, lean, mixed_keys, padded, parts, place, shared_dir, small_batches, span_keys, written
+from clausula.llm.common import blobs, chunks, discard, lean, mixed_keys, padded, parts, place, shared_dir, small_batches, span_keys, written
 
 LEAST, OPEN_BYTES = 1e-12, 256 << 20
 
@@ -50,7 +50,7 @@ class Settings:
     discount: float = 0.75
     chunk_bytes: int = 4 << 20
     tokens_per_part: int = 2_000_000
-    words_per_part: int = 4_000_000
+    words_per_part: int = 1_000_000
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -430,6 +430,11 @@ def _all(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     return {k: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in found]) for i, k in enumerate(found[0].schema.names)} if found else None
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where these will do."""
+    return counts.astype(np.uint32) if len(counts) and counts.max() < 1 << 32 else counts
+
+
 def _write_vocabulary(texts: DataFrame, folder: str, settings: Settings) -> tuple[Manifest, list[tuple[int, int, int]]]:
     """Level 1, and marks (id, count, tokens before it) at about even steps of the tokens in the order of ids."""
     spark = texts.sparkSession
@@ -455,13 +460,14 @@ def _write_vocabulary(texts: DataFrame, folder: str, settings: Settings) -> tupl
             ends = np.cumsum(held["n"])
             before = ends - held["n"]
             marks = np.flatnonzero(ends // step != before // step)
-            _write(folder, f"counts-{part:06d}", {}, {"count": held["n"]})
+            _write(folder, f"counts-{part:06d}", {}, {"count": _narrow(held["n"])})
             _write(folder, f"marks-{part:06d}", {"total": int(ends[-1]), "marks": [[int(i), int(held["n"][i]), int(before[i])] for i in marks]}, {})
             for i in range(0, len(ends), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(held["hash"][i : i + 100_000]), pa.array(held["n"][i : i + 100_000]), pa.array(np.full(len(ends[i : i + 100_000]), part, np.int32)), pa.array(np.arange(i, min(i + 100_000, len(ends))))], ["hash", "n", "part", "row"])
 
     order = [F.desc("n"), "hash"]
     ranks = written(words.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(ranked, "hash long, n long, part int, row long"), "ranks")
+    discard(words)
     starts, marks, ahead, behind = {}, [], 0, 0
     for part, n in sorted(tuple(r) for r in ranks.groupBy("part").count().collect()):
         about, _ = _read(folder, f"marks-{part:06d}")
@@ -474,11 +480,12 @@ def _write_vocabulary(texts: DataFrame, folder: str, settings: Settings) -> tupl
         if held:
             base = np.array([starts.get(p, 0) for p in range(max(starts) + 1)], np.int64)
             ids = base[held["part"]] + held["row"]
-            _write(folder, f"words-{part:06d}", {}, {"hash": held["hash"], "id": ids.astype(np.uint32), "count": held["n"]})
+            _write(folder, f"words-{part:06d}", {}, {"hash": held["hash"], "id": ids.astype(np.uint32), "count": _narrow(held["n"])})
             at = np.flatnonzero(held["hash"] == END)
             yield pa.RecordBatch.from_pydict({"name": [f"words-{part:06d}"], "first": [int(held["hash"][0])], "end": [int(ids[at[0]]) if len(at) else -1]})
 
     named = ranks.repartitionByRange(n_parts, "hash").sortWithinPartitions("hash").mapInArrow(by_hash, "name string, first long, end long").collect()
+    discard(ranks)
     names = sorted(((r.name, r.first) for r in named), key=lambda x: x[1])
     return Manifest(folder, settings.order, total, size, max(r.end for r in named), names, [(f"counts-{p:06d}", s) for p, s in sorted(starts.items())]), marks
 
