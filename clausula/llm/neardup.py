@@ -1,16 +1,16 @@
 """Near-duplicate classes by SimHash and shingle similarity, for the pipeline.
 
 Two texts are near-duplicates if the Jaccard similarity of their sets of word shingles (five words) is 0.8 or more;
-classes are the components of these links. The SimHash operator finds the candidates within its distance by anchor
-points (`simhash.links`). At a similarity of 0.8 the fingerprints of typical texts differ in about 8 to 14 of 64 bits,
+classes are the components of these links. The SimHash operator gives keys that texts within its distance share, by anchor
+points (`simhash.shared_keys`), and so does an equal fingerprint. At a similarity of 0.8 the fingerprints of typical texts differ in about 8 to 14 of 64 bits,
 up to 29 for short ones, where no covering code is selective, so further candidates share one of `bands` keys, each of
 `rows` minima of the shingles under random permutations: of pairs at 0.8 less than one in ten thousand meet in no band.
-Candidates are compared by all minima first, and, unless these are far below, exactly by their whole shingle sets.
+All these keys are treated alike: a key's texts are its bucket. Candidates are compared by all minima first, and, unless these are far below, exactly by their whole shingle sets.
 
-Equal shingle sets are one node from the start, whatever the number of copies. In a band's bucket each node is first compared
-with the bucket's most central one, which meets the most others over all bands: an original among its edited copies.
+Equal shingle sets are one node from the start, whatever the number of copies. In a bucket each node is first compared
+with the bucket's most central one, which meets the most others over all buckets: an original among its edited copies.
 Then nodes that are still in different classes are compared with each other: all of a bucket up to four times `small`
-nodes, and in larger ones those that meet in hashed parts of about `small`, which differ from band to band. This leaves
+nodes, and in larger ones those that meet in hashed parts of about `small`, which differ from bucket to bucket. This leaves
 few classes in most crowded buckets. What is still apart there is compared in full: every node outside the bucket's
 largest class meets every node of another class, in blocks of about `side` by `side` nodes, so no task has a whole
 bucket. So every two texts that share a bucket end in one class or have been compared. The work of the last step grows
@@ -18,8 +18,8 @@ with the product of a bucket's nodes and those outside its largest class; no pai
 
 Defined results: null and wordless texts are one class of their own; texts of fewer words than a shingle compare as
 whole sequences. Rows are told apart by their place in a written table, so null ids and repeated rows are fine; of a
-class the row with the smallest id stays (null ids first). Empty table: no rows. Columns of the input keep their names;
-helper columns carry the prefix nd__.
+class the row with the smallest id stays (null ids first). Empty table: no rows. Columns of the input keep their names,
+whatever these are.
 """
 
 from __future__ import annotations
@@ -138,17 +138,16 @@ def near_duplicate_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: s
     rows = written(_sketches(keyed, id_col, text_col, shingle), "sketches")
     leads = written(rows.groupBy("same").agg(F.min(F.struct("id", "node")).alias("lead")).select("same", F.col("lead.node").alias("lead")), "leads")
     nodes = written(rows.join(leads.select(F.col("lead").alias("node")), "node", "left_semi"), "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    by_fp = written(nodes.groupBy("fp").agg(F.count("*").alias("n")), "prints")
+    same_print = nodes.select("node", "fp").join(by_fp.where("n > 1").select("fp"), "fp", "left_semi").select("node", F.xxhash64(F.lit("print"), "fp").alias("key"))
+    near_print = nodes.select("node", "fp").join(written(simhash.shared_keys(by_fp), "shared"), "fp").select("node", "key")
+    keys = nodes.select("node", F.explode("bands").alias("key")).unionByName(same_print).unionByName(near_print)
     crowds = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keys.join(crowds, "key"), "met")
     central = met.groupBy("node").agg(F.sum("n").alias("score"))
     heads = met.join(central, "node").groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top").getField("minus")).alias("lead"))
     members = written(met.join(heads, "key"), "members")
-    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    links = simhash.links(by_fp)
-    anchored = links.join(by_fp.toDF("a", "x"), "a").join(by_fp.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    equal = nodes.join(by_fp, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    first = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(anchored).unionByName(equal)
+    first = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = written(_similar(ordered(first), nodes, keyed, text_col, shingle, similarity), "similar")
     roots = written(components(found), "roots")
@@ -174,7 +173,9 @@ def near_duplicate_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: s
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without all but one of each near-duplicate class."""
     small_batches(docs.sparkSession)
-    keyed = written(docs.withColumn("nd__row", F.monotonically_increasing_id()), "keyed")
-    classes = near_duplicate_classes(keyed, id_col, text_col, shingle, similarity)
+    names = docs.columns
+    inner = [f"nd__{i}" for i in range(len(names))]  # whatever the input's names are, helper columns have others
+    keyed = written(docs.toDF(*inner).withColumn("nd__row", F.monotonically_increasing_id()), "keyed")
+    classes = near_duplicate_classes(keyed, inner[names.index(id_col)], inner[names.index(text_col)], shingle, similarity)
     stays = classes.groupBy("root").agg(F.min(F.struct("id", "node")).alias("stays")).select(F.col("stays.node").alias("nd__row"))
-    return marked_rows(keyed, stays, True).select(*docs.columns)
+    return marked_rows(keyed, stays, True).select(*inner).toDF(*names)

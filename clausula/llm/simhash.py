@@ -122,8 +122,10 @@ def _replicated(nodes: DataFrame, distance: int, home_only: bool) -> DataFrame:
     return nodes.select("fp").mapInArrow(lean(run), "anchor long, fp long")
 
 
-def links(nodes: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp of nodes) whose components are those of all links within distance bits."""
+def _near(nodes: DataFrame, distance: int, crowd: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of distinct fingerprints within distance bits, but for those that meet at crowded anchors only; of the latter (fp, middle) for every middle within 1 bit."""
+    if distance != 2:
+        raise ValueError("midpoints within 1 bit stand for a distance of 2 bits")
     homes = _replicated(nodes, distance, True)
     crowded = written(homes.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowded")
     visits = _replicated(nodes, distance, False)
@@ -132,17 +134,29 @@ def links(nodes: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:
         quiet = homes.join(crowded, "anchor", "left_anti")
     home = quiet.select("anchor", F.col("fp").alias("b"))
     found = visits.select("anchor", F.col("fp").alias("a")).join(home, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
-    if any_crowd:
-        if distance != 2:
-            raise ValueError("midpoints within 1 bit stand for a distance of 2 bits")
-        flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-        inside = visits.join(crowded, "anchor", "left_semi").select("fp").distinct().select("fp", F.explode(flips).alias("flip"))
-        middle = inside.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
+    if not any_crowd:
+        return found, None
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
+    inside = visits.join(crowded, "anchor", "left_semi").select("fp").distinct().select("fp", F.explode(flips).alias("flip"))
+    return found, inside.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
+
+
+def links(nodes: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp of nodes) whose components are those of all links within distance (2) bits."""
+    found, middle = _near(nodes, distance, crowd)
+    if middle is not None:
         star = middle.groupBy("middle").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
         found = found.unionByName(star.select(F.explode(F.expr("slice(fps, 2, size(fps))")).alias("a"), F.col("fps")[0].alias("b")).distinct())
     return found
 
 
+def shared_keys(nodes: DataFrame, distance: int = 2, crowd: int = 64) -> DataFrame:
+    """fp, key: every two distinct fingerprints within distance (2) bits have a key in common, for operators that compare all members of a key."""
+    found, middle = _near(nodes, distance, crowd)
+    keys = found.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64(F.lit("pair"), "a", "b").alias("key"))
+    return keys if middle is None else keys.unionByName(middle.select("fp", F.xxhash64(F.lit("middle"), "middle").alias("key")))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """Each row's id, fingerprint (16 hex digits) and component_id, the smallest id that links lead to."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")

@@ -92,6 +92,25 @@ def test_crowded_buckets_lose_no_class(spark):
     assert [lowest[found[i]] for i in range(len(texts))] == classes
 
 
+def test_helper_names_in_the_input(spark):
+    rows = [(i, t, i, "x", "y") for i, (_, t, *_) in enumerate(corpus()[:40])] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, nd__row long, root string, nd__0 string")
+    out = neardup.one_of_each(frame)
+    assert out.columns == frame.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted(set(rows))
+
+
+def test_equal_prints_are_compared_with_each_other(spark):
+    """Few words give many equal fingerprints: each bucket of one print holds texts that are similar to another than its head."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(250)]
+    frame = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, nd__row long")
+    lowest, found = {}, {r.id: r.root for r in neardup.near_duplicate_classes(frame, side=20).collect()}
+    for i in sorted(found):
+        lowest.setdefault(found[i], i)
+    assert [lowest[found[i]] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_empty(spark):
     assert neardup.one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []
 
