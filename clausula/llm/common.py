@@ -144,8 +144,8 @@ def mixed_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def marked_rows(rows: DataFrame, ids: DataFrame, keep: bool, row_col: str = "nd__row") -> DataFrame:
-    """The rows whose row_col (from monotonically_increasing_id) is among ids (one column), or is not.
+def marked_rows(rows: DataFrame, ids: DataFrame, keep: bool, row_col: str = "nd__row", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
+    """The rows whose row_col (from monotonically_increasing_id) is among ids (one column), or is not; or what `then` makes of them, by schema, in the same Python worker.
 
     ids are dealt by the partition that row_col names and lie in one small file for each; a task that reads rows opens
     the files of their partitions. So neither the rows nor all ids move: only ids are shuffled, once.
@@ -182,6 +182,7 @@ def marked_rows(rows: DataFrame, ids: DataFrame, keep: bool, row_col: str = "nd_
                     there = files.get_file_info(path).type == pa.fs.FileType.File
                     known[part] = np.frombuffer(files.open_input_stream(path, compression=None).read(), "<i8") if there else np.zeros(0, np.int64)
                 inside |= np.isin(own, known[part])
-            yield batch.filter(pc.equal(pa.array(inside), keep))
+            kept = batch.filter(pc.equal(pa.array(inside), keep))
+            yield then(kept) if then else kept
 
-    return rows.mapInArrow(lean(run), rows.schema)
+    return rows.mapInArrow(lean(run), schema or rows.schema)

@@ -84,12 +84,11 @@ def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str
     both = pairs.join(sketch.toDF("a", "left"), "a").join(sketch.toDF("b", "right"), "b").select("a", "b", "left", "right")
     likely = written(both.mapInArrow(lean(roughly), "a long, b long"), "likely")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in blobs(batch.column(1))], pa.binary())], ["node", "shingles"])
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in blobs(batch.column(1))], pa.binary())], ["node", "shingles"])
 
     asked = likely.select(F.explode(F.array("a", "b")).alias("nd__row")).distinct()
-    known = written(marked_rows(keyed.select("nd__row", text_col), asked, True).mapInArrow(lean(sets), "node long, shingles binary"), "sets")
+    known = written(marked_rows(keyed.select("nd__row", text_col), asked, True, then=sets, schema="node long, shingles binary"), "sets")
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
