@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Private-use characters that stand for protected punctuation, and back: one translate() restores them all.
@@ -12,7 +12,7 @@ PERIOD, EXCLAIM, QUESTION, ITEM = "\ue000", "\ue001", "\ue002", "\ue003"
 #: The single ellipsis character, and a mark for a period that only ends a sentence.
 ELLIPSIS, ADDED = "\ue004", "\ue005"
 HIDDEN, SHOWN = PERIOD + EXCLAIM + QUESTION + ELLIPSIS, ".!?…"
-CUT = "\x01"
+CUT, INNER_CUT = "\x01", "\x02"
 
 Text = Column | str
 
@@ -68,28 +68,66 @@ def unmask(c: Text) -> Column:
     return F.translate(col(c), HIDDEN + ITEM, SHOWN)
 
 
-def fold_pairs(sentences: Column, absorb: Callable[[Column, Column], Column], rest: Callable[[Column, Column], Column] | None = None, chain: bool = False, left: Callable[[Column], Column] = lambda c: c) -> Column:
+def deep_plans(least: int = 400) -> None:
+    """Room for the analyser of the active session: it resolves one level of nested lambdas in each of its iterations, of which it has 100 by default."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.analyzer.maxIterations"
+    if spark is not None and int(spark.conf.get(key)) < least:
+        spark.conf.set(key, str(least))
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str = "string", finish: Callable[[Column, Column], Column] = lambda done, state: done) -> Column:
+    """finish(done, state): done has for each item what the array emit(state, item) holds, where state is what step(state, item) made of the items before; state is the last one.
+
+    An array that grows by one element at a time costs the square of its length, so items go in blocks: each block has
+    an array of its own, and the blocks' arrays come together in the end. With blocks of the cube root of n items the
+    cost is n to the power of 4/3, small against the rules themselves.
+    """
+    empty, none = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        return F.struct(F.concat(acc["done"], emit(acc["state"], item)).alias("done"), step(acc["state"], item).alias("state"))
+
+    def block(acc: Column, some: Column) -> Column:
+        return F.aggregate(some, F.struct(empty.alias("done"), acc["state"].alias("state")), one, lambda x: F.struct(F.concat(acc["done"], F.array(x["done"])).alias("done"), x["state"].alias("state")))
+
+    def whole(all_: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.cbrt(F.size(all_))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_)), size), lambda i: F.slice(all_, i, size))
+        return F.aggregate(blocks, F.struct(none.alias("done"), start.alias("state")), block, lambda acc: finish(F.flatten(acc["done"]), acc["state"]))
+
+    return let(items, whole)
+
+
+def fold_pairs(sentences: Column, absorb: Callable[[Column, Column], Column], rest: Callable[[Column, Column], Column] | None = None, chain: bool = False, left: Callable[[Column, Column], Column] = lambda a, b: a) -> Column:
     """One pass over neighbours: absorb(current, following) is what current takes over (null: nothing), rest what stays of following.
 
     A result merges again with what follows only if chain is set; a rest becomes the next current sentence.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(False).alias("closed"))
 
-    def state(done: Column, open_: Column, closed: Column) -> Column:
-        return F.struct(done.alias("done"), open_.alias("open"), closed.alias("closed"))
+    def state(out: Column, open_: Column, closed: bool) -> Column:
+        return F.struct(out.alias("out"), open_.alias("open"), F.lit(closed).alias("closed"))
 
-    def step(acc: Column, following: Column) -> Column:
-        done, current = acc["done"], acc["open"]
-        pushed = state(F.concat(done, F.array(current)), following, F.lit(False))
-        first = state(done, following, F.lit(False))
+    nothing = F.array().cast("array<string>")
+
+    def step(current: Column, closed: Column, following: Column) -> Column:
+        pushed = state(F.array(current), following, False)
 
         def taken(part: Column) -> Column:
-            merged = F.concat(left(current), F.lit(" "), part)
-            whole = state(done, merged, F.lit(not chain))
+            merged = F.concat(left(current, following), F.lit(" "), part)
+            whole = state(nothing, merged, not chain)
             if rest is None:
                 return whole
-            return let(strip(rest(current, following)), lambda r: F.when(r == "", whole).otherwise(state(F.concat(done, F.array(merged)), r, F.lit(False))))
+            return let(strip(rest(current, following)), lambda r: F.when(r == "", whole).otherwise(state(F.array(merged), r, False)))
+
+        return F.when(current.isNull(), state(nothing, following, False)).otherwise(F.when(closed, pushed).otherwise(let(absorb(current, following), lambda part: F.when(part.isNull(), pushed).otherwise(taken(part)))))
+
+    # out is what the step before has finished; it moves to the result with the next step
+    start = F.struct(nothing.alias("out"), F.lit(None).cast("string").alias("open"), F.lit(False).alias("closed"))
+    last = lambda done, state: F.concat(done, state["out"], F.when(state["open"].isNull(), nothing).otherwise(F.array(state["open"])))
+    return scan(sentences, start, lambda acc, s: step(acc["open"], acc["closed"], s), lambda acc, s: acc["out"], finish=last)
 
-        return F.when(current.isNull(), first).otherwise(F.when(acc["closed"], pushed).otherwise(let(absorb(current, following), lambda part: F.when(part.isNull(), pushed).otherwise(taken(part)))))
 
-    return F.aggregate(sentences, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+def joined_where(sentences: Column, goes_on: Column, by: str = " ") -> Column:
+    """An array whose elements are joined with the following one where goes_on (array<boolean>) says so."""
+    marked = F.zip_with(sentences, goes_on, lambda s, g: F.concat(s, F.when(g, F.lit(by)).otherwise(F.lit(CUT))))
+    return F.when(F.size(sentences) == 0, sentences).otherwise(let(F.array_join(marked, ""), lambda t: F.split(F.when(t.endswith(CUT), F.substring(t, F.lit(1), F.char_length(t) - 1)).otherwise(t), CUT)))

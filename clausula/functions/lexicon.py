@@ -69,8 +69,13 @@ OCR = {"Iam": "I am", "iam": "I am", "Ihave": "I have", "ihave": "I have", "Ithi
 DOUBLE_QUOTES = "“”„‟«»″〝〞〟＂"
 SINGLE_QUOTES = "‘’‚‛‹›′‵＇`´ʹʼˈ՚׳ߴߵ᾿᾽ꞌ"
 
-# Common words with a letter elided at the start.
-ELISIONS = "tis twas twere twould twill til till cause bout em er im ere round neath gainst mid midst mongst tween twixt cross fore nough nuff nother pon scuse specially splain spose stead tain un way ave ad ead ear ard ere eard ello ome ouse ow owever ungry undred urry urt".split()
+# Words that an apostrophe at their start shortens.
+ELISIONS = """tis twas twere twill twould taint tother sblood sdeath swounds sbodikins slid strewth zounds bout bove cross fore fraid gainst live loft
+lone long mid midst mong mongst neath round sleep tween twixt wake ware way cause cuz coz hind low side yond cept scaped specially splain
+spect e em er ere im is ave avin ead ear eard eart eaven eavens eavy eck edge eel eight ell elp en ero igh ill imself int it itch obby old
+ole oliday oller ollow oly ome onest oney onor onour ood ook oop ope orizon orn orrible orse ospital ot otel our ouse ow owever uge undred
+ungry unt urry urt usband alf all am and andsome appen appy ard arm at ate ese ey ose ough rough count fter gain gin less nother nough nuff
+pears pon prentice scuse spite spose stead tarnal tend thout til till un kay sup dya ja yer copter cello member""".split()
 
 
 def any_of(words: list[str]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausula.functions import text as T
-from clausula.functions.base import ADDED, ELLIPSIS, Text, col, let, strip, unmask
+from clausula.functions.base import ADDED, ELLIPSIS, Text, col, deep_plans, let, strip, unmask
 from clausula.operators import mergers as M
 from clausula.operators import splitters as S
 from clausula.operators.documents import unwrap_hard_wrapped
@@ -31,6 +31,7 @@ def paragraphs(c: Text) -> Column:
 
 def segment_sentences(c: Text, split_dialog: bool = True) -> Column:
     """The sentences of one paragraph."""
+    deep_plans()
 
     def split(text: Column) -> Column:
         found = F.transform(S.detect(T.clean_bullets(text)), T.append_period)
@@ -60,11 +61,16 @@ def prepared(c: Text, options: Options = Options()) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many parts as there are cores: splitting costs far more than reading, and a small file is one task else. Larger inputs and streams stay as they are."""
+    """df in as many parts as there are cores if it is small: splitting costs far more than reading, and a small file, or one of a single row group, is one task else.
+
+    Small is less than a read's usual part (spark.sql.files.maxPartitionBytes) for each core, by the optimiser's estimate,
+    which runs nothing. Larger inputs and streams stay as they are.
+    """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores, part = spark.sparkContext.defaultParallelism, spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * part else df
 
 
 def sentence_rows(df: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,11 +85,13 @@ def segmented(c: Text, options: Options = Options()) -> Column:
 
 
 def segment_documents(df: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text", dedupe: bool = False) -> DataFrame:
-    """df with a column paragraphs (nested). dedupe: equal texts are segmented once, at the price of a shuffle."""
+    """df with a column paragraphs (nested). dedupe: equal texts (by a hash of 128 bits) are segmented once, at the price of a shuffle."""
     if not dedupe:
         return df.withColumn("paragraphs", segmented(text_col, options))
-    distinct = df.select(text_col).distinct().withColumn("paragraphs", segmented(text_col, options))
-    return df.join(distinct.withColumnRenamed(text_col, "__text"), F.col(text_col).eqNullSafe(F.col("__text")), "left").drop("__text")
+    key = "segment_key" + "_" * max(len(c) for c in df.columns)  # no column's name
+    hashed = df.withColumn(key, F.md5(F.col(text_col).cast("binary")))
+    distinct = hashed.where(F.col(key).isNotNull()).groupBy(key).agg(F.first(text_col).alias("text")).select(key, segmented("text", options).alias("paragraphs"))
+    return hashed.join(distinct, key, "left").select(*df.columns, "paragraphs")
 
 
 def segment_paragraphs(nested: Text) -> Column:

@@ -24,11 +24,20 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Queries whose rules cost far more than reading: a small table is dealt out first.
+COSTLY = {"segment_nested", "segment_flat", "segment_paragraphs", "mask_citations", "mla_score", "unwrap", "group_quoted", "format_dialog"}
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.spread(_docs(spark, sf_dir))
+
+
 def _text(name: str, derived: str, derived_sql: str, f: Callable[[Column], Column], sql: str | None = None, result: str = "result") -> None:
     """A query over documents: f of a derived text. In sql, x is that text."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _docs(spark, sf_dir).select("doc_id", F.expr(derived).alias("x")).select("doc_id", f(F.col("x")).alias(result))
+        docs = (_spread if name in COSTLY else _docs)(spark, sf_dir)
+        return docs.select("doc_id", F.expr(derived).alias("x")).select("doc_id", f(F.col("x")).alias(result))
 
     QUERIES[name] = query
     if sql:
@@ -39,7 +48,7 @@ def _rows(name: str, derived: str, derived_sql: str, f: Callable[[Column], Colum
     """A query over documents: the elements of f of a derived text with their positions. In sql, x is that text and the result a list."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _docs(spark, sf_dir).select("doc_id", F.expr(derived).alias("x")).select("doc_id", F.posexplode(f(F.col("x"))).alias("idx", "sentence"))
+        return _spread(spark, sf_dir).select("doc_id", F.expr(derived).alias("x")).select("doc_id", F.posexplode(f(F.col("x"))).alias("idx", "sentence"))
 
     QUERIES[name] = query
     if sql:
@@ -60,7 +69,7 @@ _SQL_PIECES = _sql_parts("regexp_replace(x, '([.?!][\")]?)\\s+', '\\1' || chr(1)
 
 def _merge(name: str, derived: str, merge: Callable[[Column], Column], sql_flag: str | None = None, left: str = "a") -> None:
     """A merger over the pieces of documents. sql_flag: when neighbours a and b merge; merged results do not merge again."""
-    QUERIES[name] = lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.expr(derived).alias("x")).select("doc_id", F.posexplode(merge(_pieces(F.col("x")))).alias("idx", "sentence"))
+    QUERIES[name] = lambda spark, sf_dir: _spread(spark, sf_dir).select("doc_id", F.expr(derived).alias("x")).select("doc_id", F.posexplode(merge(_pieces(F.col("x")))).alias("idx", "sentence"))
     if sql_flag:
         SQL[name] = f"""WITH p AS (SELECT doc_id, i, parts[i] AS a, parts[i + 1] AS b FROM (SELECT doc_id, {_SQL_PIECES} AS parts FROM (SELECT doc_id, {derived} AS x FROM documents)), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)),
 f AS (SELECT *, coalesce(b IS NOT NULL AND ({sql_flag}), false) AS flag FROM p),
@@ -91,8 +100,7 @@ _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _POST = [(".. ", ". "), (". .", ". "), (",.", ", "), (", .", ", "), ("!.", "! "), ("! .", "! "), ("?.", "? "), ("? .", "? "), (":.", ": "), (": .", ": "), (";.", "; "), ("; .", "; ")]
 _text("post_process", "concat(' ', replace(replace(text, ', ', ',. '), '? ', '? . '))", "", T.post_process, _chain(["CASE WHEN contains(x, '{0}') THEN {1} ELSE x END".format(a, _STRIP.format(f"replace(x, '{a}', '{b}')")) for a, b in _POST]))
 _text("strip_period_after_quote", "concat(text, CASE WHEN doc_id % 3 = 0 THEN '\".' ELSE '' END)", "", T.strip_period_after_quote, "regexp_replace(x, '([.?!]\")\\.$', '\\1')")
-_text("append_period", "substr(text, 1, cast(n_chars - doc_id % 3 as int))", "substr(text, 1, (n_chars - doc_id % 3)::INTEGER)", T.append_period, "CASE WHEN regexp_matches(x, '[.?!:][\"'']*$') OR regexp_matches(x, '^[(\\[{<]') OR regexp_matches(x, '://\\S*$') THEN x ELSE x || '.' END")
-_text("append_period_whole", "CASE doc_id % 3 WHEN 0 THEN concat(text, ' and more') WHEN 1 THEN concat(text, '?\"') ELSE text END", "", T.append_period, "CASE WHEN regexp_matches(x, '[.?!:][\"'']*$') OR regexp_matches(x, '^[(\\[{<]') OR regexp_matches(x, '://\\S*$') THEN x ELSE x || '.' END")
+_text("append_period", "CASE doc_id % 3 WHEN 0 THEN concat(text, ' and more') WHEN 1 THEN concat(text, '?\"') ELSE text END", "", T.append_period, "CASE WHEN regexp_matches(x, '[.?!:][\"'']*$') OR regexp_matches(x, '^[(\\[{<]') OR regexp_matches(x, '://\\S*$') THEN x ELSE x || '.' END")
 _text("quote_count", "concat('\"', replace(text, '. ', '.\" '), 'a\"b')", "", T.quote_count, "(length(x) - length(replace(x, '\"', ''))) - (length(x) - length(regexp_replace(x, '(\\p{L})\"(\\p{L})', '\\1\\2', 'g')))::INTEGER")
 _text("mask_urls", "concat('See https://ex.org/a.b?c=', doc_id, '. ', text)", "'See https://ex.org/a.b?c=' || doc_id || '. ' || text", T.mask_urls, f"replace(x, 'https://ex.org/a.b?c=', 'https://ex{PERIOD}org/a{PERIOD}bc=')")
 _text("mask_brackets", "concat('Data [Fig. ', doc_id, '.] hold. ', text)", "'Data [Fig. ' || doc_id || '.] hold. ' || text", T.mask_brackets, f"replace(replace(x, '[Fig. ', '[Fig{PERIOD} '), '.] hold. ', '{PERIOD}] hold. ')")
@@ -109,8 +117,7 @@ for _name, _f, _derived in (
 ):
     _text(_name, _derived, "", _f)
 _text("mask_round_trip", "concat('Go to https://a.b/c. [x. y] N°. 5 ', text)", "'Go to https://a.b/c. [x. y] N°. 5 ' || text", lambda c: unmask(T.mask_numero(T.mask_brackets(T.mask_urls(c)))), "x")
-_text("needs_sentences", "substr(text, 1, 60)", "", T.needs_sentences, "regexp_matches(x, '[.?!…]')")
-_text("needs_sentences_whole", "CASE WHEN doc_id % 2 = 0 THEN translate(text, '.?!…', ',,,,') ELSE text END", "", T.needs_sentences, "regexp_matches(x, '[.?!…]')")
+_text("needs_sentences", "CASE WHEN doc_id % 2 = 0 THEN translate(text, '.?!…', ',,,,') ELSE text END", "", T.needs_sentences, "regexp_matches(x, '[.?!…]')")
 _text("mla_score", "CASE WHEN doc_id % 2 = 0 THEN concat('Doe, Jane. The Book. A Press, 1926. (', 1900 + doc_id % 100, ') ', text) ELSE text END", "CASE WHEN doc_id % 2 = 0 THEN 'Doe, Jane. The Book. A Press, 1926. (' || (1900 + doc_id % 100) || ') ' || text ELSE text END", T.mla_score, """greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.0::DOUBLE
   + CASE WHEN regexp_matches(x, '^[A-Z][a-z]+,\\s+[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?\\.(?:\\s|$)') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
   + CASE WHEN regexp_matches(x, '\\(\\d{4}\\)') THEN (-0.3)::DOUBLE ELSE 0.2::DOUBLE END
@@ -136,7 +143,7 @@ _rows("paragraph_split", "replace(text, '.\\n', '.\\n\\n')", "replace(text, '.'
 
 _merge("merge_attribution", "lower(replace(text, '. ', '.\" '))", M.merge_attribution, "regexp_matches(a, '[.?!][\"'']\\s*$') AND regexp_matches(b, '^[a-z]')")
 _merge("merge_parenthetical", "lower(replace(text, '. ', '.) '))", M.merge_parenthetical, "regexp_matches(a, '[.?!]\\)\\.?$') AND regexp_matches(b, '^[a-z]')", "regexp_replace(a, '(\\.\\))\\.$', '\\1')")
-QUERIES["merge_ellipsis"] = lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.posexplode(F.transform(M.merge_ellipsis(F.transform(_pieces(F.lower(F.replace("text", F.lit(". "), F.lit("... ")))), lambda s: F.replace(s, F.lit("..."), F.lit(PERIOD * 3)))), unmask)).alias("idx", "sentence"))
+QUERIES["merge_ellipsis"] = lambda spark, sf_dir: _spread(spark, sf_dir).select("doc_id", F.posexplode(F.transform(M.merge_ellipsis(F.transform(_pieces(F.lower(F.replace("text", F.lit(". "), F.lit("... ")))), lambda s: F.replace(s, F.lit("..."), F.lit(PERIOD * 3)))), unmask)).alias("idx", "sentence"))
 for _name, _f, _derived in (
     ("merge_abbreviations", M.merge_abbreviations, "replace(text, '. ', ' vol. ')"),
     ("merge_title_name", M.merge_title_name, "replace(text, '. ', ' Dr. ')"),
@@ -168,7 +175,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.numbered_lines(sentences(spark, sf_dir))
+    return files.numbered_sentences(P.spread(_docs(spark, sf_dir)))
 
 
 def sentence_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:

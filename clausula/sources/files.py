@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausula.functions.base import Text, col, strip
 from clausula.operators.documents import format_dialog, format_grouped, group_quoted
+from clausula.plans.segment import Options, segmented
 
 CLEAN = "-clean"
 
@@ -48,6 +49,13 @@ def numbered_lines(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.withColumn("line", F.concat(nth.cast("string"), F.lit(". "), F.col("sentence")))
 
 
+def numbered_sentences(df: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """sentence_rows and their lines of documents, numbered without a shuffle: a sentence's number is its place among those of all paragraphs."""
+    placed = F.transform(segmented(text_col, options), lambda p, i: F.transform(p, lambda s, j: F.struct(i.alias("para_idx"), j.alias("sent_idx"), s.alias("sentence"))))
+    rows = df.select(id_col, F.posexplode(F.flatten(placed)).alias("nth", "found"))
+    return rows.select(id_col, "found.para_idx", "found.sent_idx", "found.sentence", F.concat((F.col("nth") + 1).cast("string"), F.lit(". "), F.col("found.sentence")).alias("line"))
+
+
 def as_lines(sentences: Text, form: str = "lines") -> Column:
     """A document's flat sentences as text: lines, grouped (by quotation) or dialog."""
     s = col(sentences)

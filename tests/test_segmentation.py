@@ -81,6 +81,15 @@ def test_text_operators(spark, f, before, after):
         (M.merge_abbreviations, ["Meet Dr.", "Lee of St.", "Ives now."], ["Meet Dr. Lee of St. Ives now."]),
         (M.merge_abbreviations, ["He sold Lark Inc.", "We bought it."], ["He sold Lark Inc.", "We bought it."]),
         (M.merge_abbreviations, ["(see there.", "and here) too."], ["(see there. and here) too."]),
+        (M.merge_abbreviations, ["Consider pseudohypoparathyroidism—vol.", "3. Then go."], ["Consider pseudohypoparathyroidism—vol. 3.", "Then go."]),
+        (M.merge_abbreviations, ["A counterrevolutionary/Dr.", "Lee today."], ["A counterrevolutionary/Dr. Lee today."]),
+        (M.merge_abbreviations, ["Yes.", "No.", "Maybe so."], ["Yes.", "No.", "Maybe so."]),
+        (M.merge_abbreviations, ["See item no.", "5. Then stop."], ["See item no. 5.", "Then stop."]),
+        (M.merge_abbreviations, ["Brown v.", "Black was heard."], ["Brown v. Black was heard."]),
+        (M.merge_abbreviations, ["It came early. frag.", "Week 7 has it."], ["It came early.", "frag. Week 7 has it."]),
+        (M.merge_abbreviations, ["See p. 88.", "for more."], ["See p. 88 for more."]),
+        (M.merge_abbreviations, ["Two agree;.", "cf. Week 3 here."], ["Two agree; cf. Week 3 here."]),
+        (M.merge_abbreviations, ["Ask Sgt..", "Hill now."], ["Ask Sgt. Hill now."]),
         (M.merge_title_name, ["Hello Dr.", "Lee! Come."], ["Hello Dr. Lee!", "Come."]),
         (M.merge_numbered_title, ["Part 8.", "it goes on and on here now."], ["Part 8. it goes on and on here now."]),
         (M.merge_leading_ellipsis, [". . .", "So it was.", "..."], [". . . So it was. ..."]),
@@ -95,6 +104,26 @@ def test_list_operators(spark, f, before, after):
     assert one(spark, before, f) == after
 
 
+def test_dialog_turns(spark):
+    assert one(spark, ['"I see," he said,', "and sat down.", "'Tis late.", '"Go', "Then", 'away."', "", " He went. "], D.format_dialog) == '"I see," he said,\n\nand sat down.\n\n\'Tis late.\n\n"Go\nThen\naway."\n\nHe went.'
+    assert one(spark, ['"Well" she began to say slowly', "and stopped."], D.format_dialog) == '"Well" she began to say slowly\n\nand stopped.'
+    assert one(spark, [], D.format_dialog) == "" and one(spark, [], D.group_quoted) == []
+
+
+def test_long_paragraphs_take_time_in_proportion(spark):
+    import time
+
+    def run(n):
+        text = " ".join(f"The cat {i} sat down." for i in range(n))
+        began = time.perf_counter()
+        assert len(one(spark, text, lambda c: F.flatten(segmented(c)))) == n
+        return time.perf_counter() - began
+
+    run(10)
+    fixed, few, many = run(10), run(4000), run(16000)
+    assert many - fixed < 10 * max(few - fixed, 1)
+
+
 def test_group_limit(spark):
     assert [len(g) for g in one(spark, ['"a'] + ["b"] * 24, D.group_quoted)] == [20, 1, 1, 1, 1, 1]
 
