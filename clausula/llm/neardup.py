@@ -24,7 +24,7 @@ whatever these are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,20 @@ def _sketches(keyed: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return keyed.select("nd__row", id_col, text_col).mapInArrow(lean(run), f"node long, id {kind}, same string, fp long, bands array<long>, sketch binary")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= similarity * (len(x) + len(y) - common)
+
+
+def _set_rows(shingle: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in blobs(batch.column(1))], pa.binary())], ["node", "shingles"])
+
+    return sets
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Those of pairs (a, b) whose shingle sets are similar enough."""
 
@@ -84,50 +98,71 @@ def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str
     both = pairs.join(sketch.toDF("a", "left"), "a").join(sketch.toDF("b", "right"), "b").select("a", "b", "left", "right")
     likely = written(both.mapInArrow(lean(roughly), "a long, b long"), "likely")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in blobs(batch.column(1))], pa.binary())], ["node", "shingles"])
-
     asked = likely.select(F.explode(F.array("a", "b")).alias("nd__row")).distinct()
-    known = written(marked_rows(keyed.select("nd__row", text_col), asked, True, then=sets, schema="node long, shingles binary"), "sets")
+    known = written(marked_rows(keyed.select("nd__row", text_col), asked, True, then=_set_rows(shingle), schema="node long, shingles binary"), "sets")
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(common >= similarity * (len(x) + len(y) - common))
+                kept.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity))
             yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
 
     return likely.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(lean(exactly), "a long, b long")
 
 
-def _crossed(apart: DataFrame, nodes: DataFrame, similarity: float, side: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes (root) in one bucket (key) whose minima do not tell them apart; may repeat."""
+def _crossed(apart: DataFrame, nodes: DataFrame, keyed: DataFrame, text_col: str, shingle: int, similarity: float, side: int) -> DataFrame:
+    """Links (a, b) between nodes of different classes (root) in one crowded bucket (key); of links that a block's other links imply, not all.
+
+    Every node outside a bucket's largest class meets every node of another class, in blocks. A pair of nodes is looked
+    at in one bucket only, that of the first band they share (if that is a small bucket, they have been compared there);
+    it leaves its block only if it is a link, so rows do not grow with the pairs.
+    """
     counts = apart.groupBy("key", "root").agg(F.count("*").alias("c"))
     sizes = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top")).where("top.c < n")
     sizes = sizes.select("key", F.col("top.root").alias("largest"), F.ceil(F.col("n") / side).alias("parts"), F.ceil((F.col("n") - F.col("top.c")) / side).alias("outer_parts"))
-    placed = written(apart.join(sizes, "key").withColumn("outer", F.col("root") != F.col("largest")).withColumn("hash", F.xxhash64("node", "key")).join(nodes.select("node", "sketch"), "node"), "placed")
+    dealt = written(apart.join(sizes, "key").withColumn("outer", F.col("root") != F.col("largest")).withColumn("hash", F.xxhash64("node", "key")), "dealt")
+    asked = dealt.select(F.col("node").alias("nd__row")).distinct()
+    sets = written(marked_rows(keyed.select("nd__row", text_col), asked, True, then=_set_rows(shingle), schema="node long, shingles binary"), "sets")
+    placed = dealt.join(nodes.select("node", "sketch", "bands"), "node").join(sets, "node")
     part, outer_part = F.pmod("hash", "parts"), F.pmod("hash", "outer_parts")
-    columns = ["key", "node", "root", "sketch", "outer"]
+    columns = ["key", "node", "root", "sketch", "bands", "shingles", "outer"]
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     inner = placed.select(*columns, F.lit(False).alias("asks"), part.alias("v"), upto("outer_parts").alias("u"))
     asking = placed.where("outer").select(*columns, F.lit(True).alias("asks"), outer_part.alias("u"), upto("parts").alias("v"))
 
     def block(group: pa.Table) -> pa.Table:
-        asks, outer = (group.column(c).to_numpy() for c in ("asks", "outer"))
-        node, root = (group.column(c).to_numpy() for c in ("node", "root"))
+        key = group.column("key")[0].as_py()
+        asks, outer, node, root = (group.column(c).to_numpy() for c in ("asks", "outer", "node", "root"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-        others = ~asks
-        node_b, root_b, sketch_b, outer_b = node[others], root[others], sketch[others], outer[others]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(asks):
+        bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        shingles = group.column("shingles")
+        others = np.flatnonzero(~asks)
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                x = above[x]
+            return x
+
+        left, right = [], []
+        for i in np.flatnonzero(asks).tolist():
             # two nodes outside the largest class meet twice, once as each side
-            at = np.flatnonzero((root_b != root[i]) & (~outer_b | (node_b > node[i])))
-            at = at[(sketch_b[at] == sketch[i]).mean(axis=1) >= similarity - SLACK]
-            left.append(np.full(len(at), node[i]))
-            right.append(node_b[at])
-        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+            at = others[(root[others] != root[i]) & (~outer[others] | (node[others] > node[i]))]
+            at = at[(sketch[at] == sketch[i]).mean(axis=1) >= similarity - SLACK]
+            shared = bands[at] == bands[i]
+            first = np.where(shared.any(axis=1), bands[at, shared.argmax(axis=1)], key)
+            own = None
+            for j in at[first == key].tolist():
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x == y:
+                    continue
+                own = np.frombuffer(shingles[i].as_py(), np.uint64) if own is None else own
+                if _alike(own, np.frombuffer(shingles[j].as_py(), np.uint64), similarity):
+                    above[max(x, y)] = min(x, y)
+                    left.append(int(node[i]))
+                    right.append(int(node[j]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return inner.unionByName(asking).groupBy("key", "u", "v").applyInArrow(block, "a long, b long")
 
@@ -161,10 +196,9 @@ def near_duplicate_classes(keyed: DataFrame, id_col: str = "doc_id", text_col: s
     found = written(found.unionByName(more), "similar")
     roots = written(components(found), "roots")
     crowded = members.where(F.col("n") > 4 * small).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    crossed = written(ordered(_crossed(crowded, nodes, similarity, side)), "crossed")
+    crossed = written(_crossed(crowded, nodes, keyed, text_col, shingle, similarity, side), "crossed")
     if not crossed.isEmpty():
-        more = _similar(crossed, nodes, keyed, text_col, shingle, similarity)
-        roots = written(components(found.unionByName(more)), "roots")
+        roots = written(components(found.unionByName(crossed)), "roots")
     lead = rows.join(leads, "same").select("node", "id", "lead")
     return lead.join(roots.withColumnRenamed("node", "lead"), "lead", "left").select("node", "id", F.coalesce("root", "lead").alias("root"))
 

@@ -37,7 +37,7 @@ class RepeatLimits:
     min_words: int = 8
     max_covered: float = 0.3
     max_longest: int = 150
-    chunk_bytes: int = 2 << 20
+    chunk_bytes: int = 1 << 20
 
 
 def deepest_repeats(tokens: np.ndarray) -> np.ndarray:
