@@ -13,7 +13,7 @@ a hot source is summed before it is shuffled. The cut makes the choice a narrow
 
 Defined results: null text: no tokens; null levels count as ''; rows of equal ids have equal keys and are taken
 together; rows without tokens follow their key like others; a leaf without tokens or weight gives nothing. Empty table:
-no rows. Helper columns carry the prefix mix__, so that columns of the input keep their names.
+no rows. Columns of the input keep their names, whatever these are: they travel in a struct.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ class Mix:
     domain: Column | None = field(default=None, compare=False)
 
 
-def _leaves(docs: DataFrame, mix: Mix, lang_col: str, source_col: str) -> DataFrame:
-    """docs with the leaf's three columns."""
+def _leaf(mix: Mix, lang_col: str, source_col: str) -> list[Column]:
+    """The leaf's three columns, from those of the documents."""
     domain = mix.domain if mix.domain is not None else F.lit("all")
-    return docs.withColumns(dict(zip(LEVELS, (F.coalesce(c.cast("string"), F.lit("")) for c in (domain, F.col(lang_col), F.col(source_col))))))
+    return [F.coalesce(c.cast("string"), F.lit("")).alias(level) for c, level in zip((domain, F.col(lang_col), F.col(source_col)), LEVELS)]
 
 
 def _weight(names: Mapping[str, float], level: str) -> Column:
@@ -86,7 +86,7 @@ def _key(mix: Mix, id_col: str, epoch: str) -> Column:
 
 def leaf_plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The counted rows (id, LEVELS, n_tokens), and for each leaf budget, whole and cut, both as written tables."""
-    counted = _leaves(docs, mix, lang_col, source_col).select(F.col(id_col).alias("id"), *LEVELS, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    counted = docs.select(F.col(id_col).alias("id"), *_leaf(mix, lang_col, source_col), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
     counted = written(counted, "counted")
     budgets = written(leaf_budgets(counted.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), mix), "budgets")
     keyed = counted.join(budgets.where("part > 0").select(*LEVELS, "whole", "part"), LEVELS).withColumn("key", _key(mix, "id", "whole")).withColumn("range", F.substring("key", 1, 3))
@@ -116,7 +116,8 @@ def mixture(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "
 def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs that are taken, with their own columns only, once for each epoch."""
     _, plan = leaf_plan(docs, mix, id_col, text_col, lang_col, source_col)
-    return _copies(_leaves(docs, mix, lang_col, source_col), plan, mix, id_col).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("mix__row"), F.col(id_col).alias("mix__id"), *_leaf(mix, lang_col, source_col))
+    return _copies(rows, plan, mix, "mix__id").select("mix__row.*")
 
 
 def mixture_sql(documents: str, domain: str, mix: Mix) -> str:
