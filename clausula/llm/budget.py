@@ -60,7 +60,7 @@ def _share(nodes: DataFrame, parents: list[str], level: str, weights: Mapping[st
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     nodes = nodes.withColumn("nth", F.row_number().over(order)).withColumn("rest", F.sum("weight").over(after))
     nodes = nodes.withColumn("level", F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0.0))) / F.col("rest")).otherwise(F.lit(0.0)))
-    first = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("nth", "level"))).over(Window.partitionBy(*parents))["level"]
+    first = F.min(F.when((F.col("weight") > 0) & (F.col("ratio") > F.col("level")), F.struct("nth", "level"))).over(Window.partitionBy(*parents))["level"]
     own = F.when(F.col("weight") <= 0, F.lit(0.0)).otherwise(F.least(F.col("capacity"), F.coalesce(F.col("weight") * first, F.col("capacity"))))
     return nodes.withColumn("budget", own).select(*parents, level, "capacity", "budget")
 
@@ -138,7 +138,7 @@ def mixture_sql(documents: str, domain: str, mix: Mix) -> str:
       / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE 0.0 END AS lvl
   FROM {name}_r WINDOW o AS ({part} ORDER BY ratio, {level})),
 {name} AS (SELECT * EXCLUDE (budget), CASE WHEN w <= 0 THEN 0.0 ELSE least(cap, coalesce(w * open_level, cap)) END AS budget
-  FROM (SELECT *, (min(CASE WHEN ratio > lvl THEN {{'nth': nth, 'lvl': lvl}} END) OVER ({part})).lvl AS open_level FROM {name}_l))"""
+  FROM (SELECT *, (min(CASE WHEN w > 0 AND ratio > lvl THEN {{'nth': nth, 'lvl': lvl}} END) OVER ({part})).lvl AS open_level FROM {name}_l))"""
 
     return f"""WITH counted AS (SELECT doc_id, coalesce({domain}, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM {documents}),
