@@ -11,16 +11,18 @@ Smoothing is interpolated absolute discounting over all n-grams, those seen once
 is taken off; what is left over of a context goes to the distribution of one word less, which for single words is
 (c + 0.1) / (N + 0.1 (V + 1)). A document's first word follows its boundary, which is the end token.
 
-Texts are cut into words once: each batch becomes one row of a written table, with its distinct word hashes and its tokens
-as numbers of these. Counting reads that table, and so do the scores. Each batch sends its distinct pairs with what follows
-them, counted and packed, to the segment of the pair; ranges of pairs come from the words' counts, so that segments are of
-about equal size, and a very frequent first word spreads over many. A task merges one segment and writes both levels of it.
-Segments are opened when a batch asks for them: memory-mapped if the shared folder is a file system, else read, of which
-a worker keeps the last few (`OPEN_BYTES`).
+Texts are cut into words once: each batch becomes one file, with its distinct word hashes and its tokens as numbers of
+these. Counting reads these files, and so do the scores. Each batch sends its distinct pairs with what follows them, counted
+and packed, to the segment of the pair; ranges of pairs come from the words' counts, so that segments are of about equal
+size, and a very frequent first word spreads over many. A task merges one segment and writes both levels of it.
+
+Scoring goes the same way: each batch sends what it asks for to the segments, a task opens one segment, looks all of that up
+in its trie, and sends codes back to the batches. So a segment is read once in each of at most `ROUNDS` rounds, whatever the
+number of batches, and no batch visits segments; rounds bound what questions and answers take of the disk.
 
 Defined results: null text: as empty, so the end token alone. Null ids: held_out null, not learned from. Repeated rows
 count and score each. No training rows: N and V are 0. Empty table: no rows. Words are told apart by 64-bit hashes;
-2**32 different words or more are an error. Only the id and the text are read, so other columns cannot clash.
+2**31 different words or more are an error. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ import json
 import math
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,16 +42,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausula.llm.common import blobs, chunks, discard, lean, mixed_keys, padded, parts, place, shared_dir, small_batches, span_keys, written
+from clausula.llm.common import Batches, blobs, chunks, discard, lean, mixed_keys, padded, parts, place, shared_dir, small_batches, span_keys, written
 
-LEAST, OPEN_BYTES = 1e-12, 256 << 20
+LEAST, OPEN_BYTES, ROUNDS = 1e-12, 256 << 20, 3
+#: In questions: a word that the model does not know.
+NONE = 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
 class Settings:
     order: int = 3
     discount: float = 0.75
-    chunk_bytes: int = 4 << 20
+    chunk_bytes: int = 8 << 20
     tokens_per_part: int = 2_000_000
     words_per_part: int = 1_000_000
 
@@ -259,7 +264,7 @@ class Trie:
         self.manifest, self.files = manifest, Files(manifest.folder)
         self.hash_starts = np.array([h for _, h in manifest.words], np.int64)
         self.id_starts = np.array([i for _, i in manifest.counts], np.int64)
-        self.bounds, self.segments = np.array(manifest.bounds, np.int64), set(manifest.segments)
+        self.bounds, self.segments = np.array(manifest.bounds, np.int64), np.array(manifest.segments, np.int64)
         self.shared = np.array(sorted(manifest.shared), np.int64).reshape(-1, 2)
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,60 +291,15 @@ class Trie:
     def segment(self, part: int) -> Segment:
         return self.files(f"grams-{part:06d}", Segment)
 
-    def part_of(self, first: np.ndarray, second: np.ndarray | int) -> np.ndarray:
-        return np.searchsorted(self.bounds, first << 32 | second, "right")
-
-    def word_weights(self, ids: np.ndarray, counts: np.ndarray, discount: float) -> np.ndarray:
-        """What is left over after each word; 1 for unknown ones."""
-        weight = np.ones(len(ids))
-        known = np.flatnonzero(ids >= 0)
-        edge = np.zeros(len(known), bool)
+    def edge_weights(self, ids: np.ndarray, counts: np.ndarray, discount: float) -> np.ndarray:
+        """What is left over after words whose pairs may lie in several segments; nan for all others."""
+        weight = np.full(len(ids), np.nan)
         if len(self.shared):
-            at = np.minimum(np.searchsorted(self.shared[:, 0], ids[known]), len(self.shared) - 1)
-            edge = self.shared[at, 0] == ids[known]
-            weight[known[edge]] = discount * self.shared[at[edge], 1] / counts[known[edge]]
-        known = known[~edge]
-        for s, own in _by_segment(self.part_of(ids[known], 0)):
-            if s in self.segments:
-                held = self.segment(s)
-                weight[known[own]] = held.weight[ids[known[own]] - held.first]
+            at = np.minimum(np.searchsorted(self.shared[:, 0], ids), len(self.shared) - 1)
+            own = np.flatnonzero(self.shared[at, 0] == ids)
+            weight[own] = discount * self.shared[at[own], 1] / counts[own]
         return weight
 
-    def probabilities(self, ids: np.ndarray, counts: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray, discount: float) -> np.ndarray:
-        """Of three after one and two, for different triples of numbers of words; ids and counts are the words', and one may be -1 for no word."""
-        single = self.single(counts)
-        if self.manifest.order == 1 or not self.manifest.total:
-            return single[three]
-        deep = np.flatnonzero(one >= 0) if self.manifest.order > 2 else np.zeros(0, np.int64)
-        # all pairs that occur: as the last two words, and as contexts
-        n = len(ids)
-        pairs, which = np.unique(np.concatenate([two * n + three, one[deep] * n + two[deep]]), return_inverse=True)
-        first, second = pairs // n, pairs % n
-        place, part, value = np.full(len(pairs), -1, np.int64), np.full(len(pairs), -1, np.int64), np.zeros(len(pairs))
-        weight = np.ones(len(pairs))
-        known = np.flatnonzero((ids[first] >= 0) & (ids[second] >= 0))
-        for s, own in _by_segment(self.part_of(ids[first[known]], ids[second[known]])):
-            if s in self.segments:
-                held, own = self.segment(s), known[own]
-                at = held.find_pairs(ids[first[own]], ids[second[own]])
-                own, at = own[at >= 0], at[at >= 0]
-                place[own], part[own], value[own] = at, s, held.value[at]
-                if self.manifest.order > 2:
-                    weight[own] = held.deep_weight[at]
-        asked = np.unique(first)
-        left = np.ones(n)
-        left[asked] = self.word_weights(ids[asked], counts[asked], discount)
-        shorter = value + left[first] * single[second]
-        last, context = which[: len(three)], which[len(three) :]
-        found = shorter[last]
-        found[deep] *= weight[context]
-        own = np.flatnonzero((place[context] >= 0) & (ids[three[deep]] >= 0))
-        for s, at in _by_segment(part[context[own]]):
-            held, at = self.segment(s), own[at]
-            spot = held.find_triples(place[context[at]], ids[three[deep[at]]])
-            found[deep[at[spot >= 0]]] += held.deep_value[spot[spot >= 0]]
-        return found
-
 
 _OPEN: dict[str, Trie] = {}
 
@@ -400,31 +360,89 @@ def _first_flags(counts: np.ndarray) -> np.ndarray:
     return flags
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_out: Column | None = None) -> DataFrame:
-    """A written table with one row for each batch of texts: ids, held_out, numbers of tokens, distinct hashes, their counts in texts to learn from, tokens."""
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+@dataclass(frozen=True)
+class Texts:
+    """Batches of tokens: a file for each, with one row of ids, held, counts (numbers of tokens), hashes, seen (their counts in texts to learn from) and tokens."""
+
+    spark: SparkSession
+    folder: str
+    names: list[str]
+    kind: str  # of the ids
+
+    def batches(self, names: list[str] | None = None) -> DataFrame:
+        names = self.names if names is None else names
+        return self.spark.createDataFrame([(n,) for n in names], "batch string").repartition(max(1, len(names)))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _load(folder: str, name: str, *columns: str) -> list[pa.Scalar]:
+    files, base = pa.fs.FileSystem.from_uri(folder)
+    with files.open_input_file(f"{base}/{name}") as source, pa.ipc.open_file(source) as reader:
+        only = [reader.schema.get_field_index(c) for c in columns]
+    with files.open_input_file(f"{base}/{name}") as source, pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=only)) as reader:
+        batch = reader.get_batch(0)
+    return [batch.column(c)[0] for c in columns]
+
+
+def tokenised(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_out: Column | None = None) -> Texts:
+    """The texts cut into words, in files below a new shared folder."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    kind, folder = docs.schema[id_col].dataType.simpleString(), shared_dir(spark, "tokens")
+    files, base = pa.fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+
+    def put(pieces: list[tuple[pa.RecordBatch, list[bytes | None]]]) -> pa.RecordBatch:
+        files, base = pa.fs.FileSystem.from_uri(folder)
+        keys, held = (pa.concat_arrays([rows.column(i) for rows, _ in pieces]) for i in (0, 1))
+        hashes, tokens, counts = token_hashes([t for _, texts in pieces for t in texts])
+        learned = np.array([x is False for x in held.to_pylist()])
+        seen = np.bincount(tokens[np.repeat(learned, counts)], minlength=len(hashes))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), x) for x in (keys, held, pa.array(counts))]
+        packed = [pa.array([x], pa.large_binary()) for x in (hashes.astype("<i8").tobytes(), _planes(seen), _planes(tokens))]
+        row = pa.RecordBatch.from_arrays([*lists, *packed], ["ids", "held", "counts", "hashes", "seen", "tokens"])
+        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"  # a repeated task has files of its own
+        with files.open_output_stream(f"{base}/{name}", compression=None) as out, pa.ipc.new_file(out, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(row)
+        return pa.RecordBatch.from_pydict({"batch": [name]})
+
+    def run(batches: Batches) -> Batches:
+        pieces, size = [], 0
         for batch in batches:
-            keys, held, texts = batch.column(0), batch.column(1), blobs(batch.column(2))
+            texts = blobs(batch.column(2))
             for a, b in chunks(texts, settings.chunk_bytes):
-                hashes, tokens, counts = token_hashes(texts[a:b])
-                learned = np.array([x is False for x in held.slice(a, b - a).to_pylist()])
-                seen = np.bincount(tokens[np.repeat(learned, counts)], minlength=len(hashes))
-                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), x) for x in (keys.slice(a, b - a), held.slice(a, b - a), pa.array(counts))]
-                packed = [pa.array([x], pa.binary()) for x in (hashes.astype("<i8").tobytes(), _planes(seen), _planes(tokens))]
-                yield pa.RecordBatch.from_arrays([*lists, *packed], ["ids", "held", "counts", "hashes", "seen", "tokens"])
+                pieces.append((batch.slice(a, b - a), texts[a:b]))
+                size += sum(len(t or b"") for t in texts[a:b])
+                if size >= settings.chunk_bytes:
+                    yield put(pieces)
+                    pieces, size = [], 0
+        if sum(rows.num_rows for rows, _ in pieces):
+            yield put(pieces)
 
     flag = F.lit(False) if held_out is None else held_out
     rows = docs.select(F.col(id_col).alias("id"), flag.cast("boolean").alias("held"), F.col(text_col).alias("text"))
-    schema = f"ids array<{kind}>, held array<boolean>, counts array<bigint>, hashes binary, seen binary, tokens binary"
-    return written(rows.mapInArrow(lean(run), schema), "tokens", "zstd")
+    return Texts(spark, folder, sorted(r.batch for r in rows.mapInArrow(lean(run), "batch string").collect()), kind)
 
 
 # ---------------------------------------------------------------- fitting
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Files of a shuffle go as soon as what is run here has ended; each frame is run once only."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Enough for the cores: what the size of the input asks for beyond that is up to the settings."""
+    return min(parts(spark), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _all(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     found = [b for b in batches if b.num_rows]
     return {k: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in found]) for i, k in enumerate(found[0].schema.names)} if found else None
@@ -435,23 +453,26 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32) if len(counts) and counts.max() < 1 << 32 else counts
 
 
-def _write_vocabulary(texts: DataFrame, folder: str, settings: Settings) -> tuple[Manifest, list[tuple[int, int, int]]]:
+def _write_vocabulary(texts: Texts, folder: str, settings: Settings) -> tuple[Manifest, list[tuple[int, int, int]]]:
     """Level 1, and marks (id, count, tokens before it) at about even steps of the tokens in the order of ids."""
-    spark = texts.sparkSession
+    spark, tokens = texts.spark, texts.folder
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Batches) -> Batches:
         for batch in batches:
-            for hashes, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name in batch.column(0).to_pylist():
+                hashes, seen = (x.as_py() for x in _load(tokens, name, "hashes", "seen"))
                 n = _unplanes(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, "<i8")[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["hash", "n"])
+                found, n = np.frombuffer(hashes, "<i8")[n > 0], n[n > 0].astype(np.int64)
+                for i in range(0, len(n), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["hash", "n"])
 
-    words = written(texts.select("hashes", "seen").mapInArrow(lean(counted), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
+    words = written(texts.batches().mapInArrow(lean(counted), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
     size, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not size:
         return Manifest(folder, settings.order), []
-    if size >= 1 << 32:
-        raise ValueError("too many different words for ids of 32 bits")
-    n_parts = max(1, min(parts(spark), math.ceil(size / 10_000)), math.ceil(size / settings.words_per_part))
+    if size >= 1 << 31:
+        raise ValueError("too many different words for pairs of ids in 64 bits")
+    n_parts = max(1, min(_tasks(spark), math.ceil(size / 10_000)), math.ceil(size / settings.words_per_part))
     step = max(1, total // (16 * _n_segments(spark, total, settings)))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,7 +512,7 @@ def _write_vocabulary(texts: DataFrame, folder: str, settings: Settings) -> tupl
 
 
 def _n_segments(spark: SparkSession, total: int, settings: Settings) -> int:
-    return max(1, min(parts(spark), math.ceil(total / 1000)), math.ceil(total / settings.tokens_per_part))
+    return max(1, min(_tasks(spark), math.ceil(total / 1000)), math.ceil(total / settings.tokens_per_part))
 
 
 def _bounds(marks: list[tuple[int, int, int]], total: int, size: int, n: int) -> list[int]:
@@ -523,42 +544,63 @@ def _distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], n
     return [key >> 32, *(r[key & 0xFFFFFFFF] for r in rows)], which, n
 
 
-def _write_segments(texts: DataFrame, manifest: Manifest, marks: list[tuple[int, int, int]], settings: Settings) -> Manifest:
-    spark = texts.sparkSession
+def _grams(trie: Trie, hashes: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different (word before, word, word after) of texts in the order of the first two's ids: key of the pair (negative if the first is unknown), id after it, how many, and numbers of the words before; the place of each token's own among these; ids and counts of words."""
+    ids, seen = trie.lookup(hashes)
+    first, end = _first_flags(counts), int(np.flatnonzero(hashes == END)[0])
+    before = np.where(first, end, np.r_[end, tokens[:-1]])
+    # after the end token nothing follows: itself stands for that
+    after = np.where(tokens == end, end, np.r_[tokens[1:], end]) if trie.manifest.order > 2 else np.zeros(len(tokens), np.int64)
+    (one, two, three), which, n = _distinct([before, tokens, after], len(hashes))
+    key = ids[one] << 32 | ids[two] & NONE
+    order = np.argsort(key, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return key[order], (ids[three] & NONE)[order], n[order], one[order], place[which], ids, seen
+
+
+def _packed(key: np.ndarray, cuts: np.ndarray, columns: list[np.ndarray], only: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """Segment, number of rows and packed columns, for each segment (or those of `only`) that keys in ascending order fall in."""
+    codec, edges = pa.Codec("zstd", 1), _edges(key, cuts)
+    some = np.flatnonzero(np.diff(edges))
+    for p in some if only is None else some[np.isin(some, only)]:
+        a, b = edges[p], edges[p + 1]
+        yield int(p), int(b - a), codec.compress(b"".join(_planes(x[a:b]) for x in columns), asbytes=True)
+
+
+def _edges(key: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where segments begin in ascending keys; negative ones are in none."""
+    return np.r_[np.searchsorted(key, 0), np.searchsorted(key, cuts), len(key)]
+
+
+def _unpacked(packs: list[bytes], sizes: list[int], n: int) -> list[np.ndarray]:
+    """The n columns of packs, one after the other."""
+    codec = pa.Codec("zstd")
+    raw = [np.frombuffer(codec.decompress(p, 4 * n * size, asbytes=True), np.uint8).reshape(n, -1) for p, size in zip(packs, sizes)]
+    return [np.concatenate([_unplanes(r[i]) for r in raw]) for i in range(n)]
+
+
+def _write_segments(texts: Texts, manifest: Manifest, marks: list[tuple[int, int, int]], settings: Settings) -> Manifest:
+    spark, tokens_at = texts.spark, texts.folder
     bounds = _bounds(marks, manifest.total, manifest.size, _n_segments(spark, manifest.total, settings))
     discount, deep = settings.discount, settings.order > 2
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, codec, cuts = _opened(manifest), pa.Codec("zstd", 1), np.array(bounds, np.int64)
+    def grams(batches: Batches) -> Batches:
+        trie, cuts = _opened(manifest), np.array(bounds, np.int64)
         for batch in batches:
-            for held, counts, hashes, tokens in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                counts, learned = np.array(counts, np.int64), np.array([x is False for x in held])
+            for name in batch.column(0).to_pylist():
+                held, counts, hashes, tokens = _load(tokens_at, name, "held", "counts", "hashes", "tokens")
+                counts, learned = counts.values.to_numpy(), np.array([x is False for x in held.as_py()])
                 if not learned.any():
                     continue
-                hashes = np.frombuffer(hashes, "<i8")
-                tokens = _unplanes(tokens)[np.repeat(learned, counts)].astype(np.int64)
-                first, end = _first_flags(counts[learned]), int(np.flatnonzero(hashes == END)[0])
-                before = np.where(first, end, np.r_[end, tokens[:-1]])
-                # after the end token nothing follows: itself stands for that
-                after = np.where(tokens == end, end, np.r_[tokens[1:], end]) if deep else np.zeros(len(tokens), np.int64)
-                (one, two, three), _, n = _distinct([before, tokens, after], len(hashes))
-                ids, _ = trie.lookup(hashes)
-                key = ids[one] << 32 | ids[two]
-                order = np.argsort(key, kind="stable")
-                key, third, n = key[order], ids[three][order], n[order]
-                edges = np.r_[0, np.searchsorted(key, cuts), len(key)]
-                some = np.flatnonzero(np.diff(edges))
-                packs = []
-                for p in some:
-                    a, b = edges[p], edges[p + 1]
-                    raw = b"".join(_planes(x[a:b]) for x in (key >> 32, key & 0xFFFFFFFF, third, n))
-                    packs.append(codec.compress(raw, asbytes=True))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(edges)[some]), pa.array(packs, pa.binary())], ["part", "n", "pack"])
+                tokens = _unplanes(tokens.as_py())[np.repeat(learned, counts)].astype(np.int64)
+                key, third, n, *_ = _grams(trie, np.frombuffer(hashes.as_py(), "<i8"), tokens, counts[learned])
+                some, sizes, packs = zip(*_packed(key, cuts, [key >> 32, key & NONE, third, n]))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], ["part", "n", "pack"])
 
     def segment(group: pa.Table) -> pa.Table:
-        part, codec = group.column("part")[0].as_py(), pa.Codec("zstd")
-        packs = [np.frombuffer(codec.decompress(p, 16 * n, asbytes=True), np.uint8).reshape(4, -1) for p, n in zip(group.column("pack").to_pylist(), group.column("n").to_pylist())]
-        one, two, third, n = (np.concatenate([_unplanes(p[i]) for p in packs]) for i in range(4))
+        part = group.column("part")[0].as_py()
+        one, two, third, n = _unpacked(group.column("pack").to_pylist(), group.column("n").to_pylist(), 4)
         key = one.astype(np.int64) << 32 | two
         order = np.lexsort((third, key))
         key, third, n = key[order], third[order], n[order].astype(np.int64)
@@ -589,7 +631,7 @@ def _write_segments(texts: DataFrame, manifest: Manifest, marks: list[tuple[int,
         ends = {lowest: int(edges[1]), highest: int(edges[-1] - edges[-2])}
         return pa.table({"part": pa.array([part], pa.int32()), "word": [list(ends)], "successors": [list(ends.values())]})
 
-    packed = texts.select("held", "counts", "hashes", "tokens").mapInArrow(lean(grams), "part int, n long, pack binary")
+    packed = texts.batches().mapInArrow(lean(grams), "part int, n long, pack binary")
     made = packed.groupBy("part").applyInArrow(segment, "part int, word array<long>, successors array<long>").collect()
     shared: dict[int, int] = {}
     for r in made:
@@ -598,12 +640,13 @@ def _write_segments(texts: DataFrame, manifest: Manifest, marks: list[tuple[int,
     return Manifest(manifest.folder, settings.order, manifest.total, manifest.size, manifest.end, manifest.words, manifest.counts, bounds, sorted(r.part for r in made), sorted(shared.items()))
 
 
-def fit_tokens(texts: DataFrame, settings: Settings = Settings()) -> Manifest:
-    """The trie of the texts of a tokenised() table that are to be learned from, below a new shared folder."""
+def fit_tokens(texts: Texts, settings: Settings = Settings()) -> Manifest:
+    """The trie of those of tokenised() texts that are to be learned from, below a new shared folder."""
     if not 1 <= settings.order <= 3:
         raise ValueError("order is 1, 2 or 3")
-    manifest, marks = _write_vocabulary(texts, shared_dir(texts.sparkSession, "trie"), settings)
-    return _write_segments(texts, manifest, marks, settings) if settings.order > 1 and manifest.total else manifest
+    with _tidy(texts.spark):
+        manifest, marks = _write_vocabulary(texts, shared_dir(texts.spark, "trie"), settings)
+        return _write_segments(texts, manifest, marks, settings) if settings.order > 1 and manifest.total else manifest
 
 
 def fit(train: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> Manifest:
@@ -615,34 +658,113 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings = Settings(
 # ---------------------------------------------------------------- scoring
 
 
-def _scores(trie: Trie, hashes: np.ndarray, tokens: np.ndarray, counts: np.ndarray, discount: float) -> list[np.ndarray]:
-    """Of each text: tokens known, log10 probability by single words and by the model."""
-    ids, seen = trie.lookup(hashes)
-    first, end = _first_flags(counts), int(np.flatnonzero(hashes == END)[0])
-    before = np.where(first, end, np.r_[end, tokens[:-1]])
-    # what stands two before: nothing (0) for a first token, else a number plus 1
-    two_before = np.where(first, 0, np.r_[0, before[:-1] + 1])
-    (one, two, three), which, _ = _distinct([two_before, before, tokens], len(hashes) + 1)
-    value = np.log10(trie.probabilities(ids, seen, one - 1, two, three, discount))[which]
-    begin = np.cumsum(counts) - counts
-    return [np.add.reduceat(x, begin) for x in ((ids >= 0).astype(np.int64)[tokens], np.log10(trie.single(seen))[tokens], value)]
-
-
-def score_tokens(texts: DataFrame, manifest: Manifest, id_col: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text of a tokenised() table."""
-    kind = texts.schema["ids"].dataType.elementType.simpleString()
+def _questions(texts: Texts, manifest: Manifest) -> Callable[[Batches], Batches]:
+    """Of batches, what they ask each segment: pairs with what follows them."""
+    tokens_at = texts.folder
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         trie = _opened(manifest)
         for batch in batches:
-            keys, held = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                counts = batch.column(2)[i].values.to_numpy()
-                known, base, value = _scores(trie, np.frombuffer(batch.column(3)[i].as_py(), "<i8"), _unplanes(batch.column(4)[i].as_py()).astype(np.int64), counts, settings.discount)
-                yield pa.RecordBatch.from_arrays([keys[i].values, held[i].values, pa.array(counts), pa.array(known), pa.array(np.full(len(counts), manifest.total, np.int64)), pa.array(base), pa.array(value)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = texts.select("ids", "held", "counts", "hashes", "tokens").mapInArrow(lean(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
+            for name in batch.column(0).to_pylist():
+                counts, hashes, tokens = _load(tokens_at, name, "counts", "hashes", "tokens")
+                key, third, *_ = _grams(trie, np.frombuffer(hashes.as_py(), "<i8"), _unplanes(tokens.as_py()).astype(np.int64), counts.values.to_numpy())
+                asked = list(_packed(key, trie.bounds, [key >> 32, key & NONE, third], trie.segments))
+                if asked:
+                    some, sizes, packs = zip(*asked)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some, pa.int32()), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], ["batch", "part", "n", "pack"])
+
+    return lean(run)
+
+
+def _answers(manifest: Manifest) -> Callable[[pa.Table], pa.Table]:
+    """Of one segment's questions: scales of the four codes, codes (plus 1; 0: absent) of each triple's value, of each pair's value and weight, and of the first word's weight."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sizes, codec = group.column("n").to_numpy(), pa.Codec("zstd", 1)
+        one, two, third = _unpacked(group.column("pack").to_pylist(), sizes.tolist(), 3)
+        held = _opened(manifest).segment(group.column("part")[0].as_py())
+        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        new[np.cumsum(sizes) - sizes] = True
+        begin = np.flatnonzero(new)
+        first, second = one[begin].astype(np.int64), two[begin].astype(np.int64)
+        found = held.find_pairs(first, second)
+        context = first - held.first
+        inside = (context >= 0) & (context < len(held.weight.codes))
+        coded = lambda codes, at, there: np.where(there, codes.codes[np.where(there, at, 0)].astype(np.uint32) + np.uint32(1), np.uint32(0))
+        pairs = [coded(held.value, found, found >= 0), np.zeros(len(begin), np.uint32), coded(held.weight, context, inside)]
+        triples, scales = np.zeros(len(one), np.uint32), [(0.0, 0.0), (held.value.low, held.value.step), (0.0, 0.0), (held.weight.low, held.weight.step)]
+        if held.order > 2:
+            pairs[1] = coded(held.deep_weight, found, found >= 0)
+            scales[0], scales[2] = ((c.low, c.step) for c in (held.deep_value, held.deep_weight))
+            pair = np.repeat(found, np.diff(np.r_[begin, len(one)]))
+            own = np.flatnonzero(pair >= 0)
+            spot = held.find_triples(pair[own], third[own].astype(np.int64))
+            triples[own[spot >= 0]] = held.deep_value.codes[spot[spot >= 0]].astype(np.uint32) + np.uint32(1)
+        ends = np.cumsum(sizes)
+        edges, scale, packs = np.searchsorted(begin, np.r_[0, ends]), np.array(scales, "<f8").tobytes(), []
+        for i, (a, b) in enumerate(zip(ends - sizes, ends)):
+            packs.append(scale + codec.compress(b"".join([_planes(triples[a:b]), *(_planes(x[edges[i] : edges[i + 1]]) for x in pairs)]), asbytes=True))
+        return pa.table({"batch": group.column("batch"), "part": group.column("part"), "pack": pa.array(packs, pa.binary())})
+
+    return run
+
+
+def _scored(texts: Texts, manifest: Manifest, discount: float) -> Callable[[pa.Table], pa.Table]:
+    """Of one batch's answers (and a row without one): its texts with their scores."""
+    tokens_at = texts.folder
+
+    def run(group: pa.Table) -> pa.Table:
+        trie, codec = _opened(manifest), pa.Codec("zstd")
+        keys, held, counts, hashes, tokens = _load(tokens_at, group.column("batch")[0].as_py(), "ids", "held", "counts", "hashes", "tokens")
+        counts, hashes, tokens = counts.values.to_numpy(), np.frombuffer(hashes.as_py(), "<i8"), _unplanes(tokens.as_py()).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        if manifest.order == 1 or not manifest.total:
+            ids, seen = trie.lookup(hashes)
+            value = trie.single(seen)[tokens]
+        else:
+            key, third, _, one, place, ids, seen = _grams(trie, hashes, tokens, counts)
+            new = np.r_[True, key[1:] != key[:-1]]
+            pair_of, edges, deep = np.cumsum(new) - 1, _edges(key, trie.bounds), np.zeros(len(key))
+            pair, weight, left = np.zeros(pair_of[-1] + 1), np.ones(pair_of[-1] + 1), np.ones(pair_of[-1] + 1)
+            for part, pack in zip(group.column("part").to_pylist(), group.column("pack").to_pylist()):
+                if pack is None:
+                    continue
+                a, b = edges[part], edges[part + 1]
+                u, v = pair_of[a], pair_of[b - 1] + 1
+                raw, at = np.frombuffer(codec.decompress(pack[64:], 4 * (b - a + 3 * (v - u)), asbytes=True), np.uint8), 0
+                for (low, step), into, i, j in zip(np.frombuffer(pack[:64], "<f8").reshape(4, 2), (deep, pair, weight, left), (a, u, u, u), (b, v, v, v)):
+                    codes, at = _unplanes(raw[at : at + 4 * (j - i)]), at + 4 * (j - i)
+                    there = np.flatnonzero(codes)
+                    into[i + there] = 10 ** ((codes[there].astype(np.float64) - 1) * step + low)
+            words = one[new]
+            edge = trie.edge_weights(ids[words], seen[words], discount)
+            left = np.where(np.isnan(edge), left, edge)
+            value = pair[pair_of][place] + left[pair_of][place] * trie.single(seen)[tokens]
+            if manifest.order > 2:
+                on = np.flatnonzero(~_first_flags(counts))
+                context = place[on - 1]
+                value[on] = deep[context] + weight[pair_of[context]] * value[on]
+        sums = [np.add.reduceat(x, begin) for x in ((ids >= 0).astype(np.int64)[tokens], np.log10(trie.single(seen))[tokens], np.log10(value))]
+        return pa.Table.from_arrays([keys.values, held.values, pa.array(counts), pa.array(sums[0]), pa.array(np.full(len(counts), manifest.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run
+
+
+def score_tokens(texts: Texts, manifest: Manifest, id_col: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every one of tokenised() texts, in a written table."""
+    spark, path = texts.spark, shared_dir(texts.spark, "scores")
+    schema = f"id {texts.kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    step = max(8, math.ceil(len(texts.names) / ROUNDS))
+    with _tidy(spark):
+        for at in range(0, max(1, len(texts.names)), step):
+            batches = texts.batches(texts.names[at : at + step])
+            # a batch that asks nothing has this row alone
+            rows = batches.select("batch", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("pack"))
+            if manifest.segments:
+                asked = batches.mapInArrow(_questions(texts, manifest), "batch string, part int, n long, pack binary")
+                rows = rows.union(asked.groupBy("part").applyInArrow(_answers(manifest), "batch string, part int, pack binary"))
+            rows.groupBy("batch").applyInArrow(_scored(texts, manifest, settings.discount), schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).withColumnRenamed("id", id_col)
 
 
 def score_documents(docs: DataFrame, manifest: Manifest, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -653,4 +775,7 @@ def score_documents(docs: DataFrame, manifest: Manifest, id_col: str = "doc_id",
 def model_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Learns from the rows for which held_out is false, scores all."""
     texts = tokenised(docs, id_col, text_col, settings, held_out)
-    return score_tokens(texts, fit_tokens(texts, settings), id_col, settings)
+    out = score_tokens(texts, fit_tokens(texts, settings), id_col, settings)
+    files, base = pa.fs.FileSystem.from_uri(texts.folder)
+    files.delete_dir(base)
+    return out

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from clausula.llm import eftrie, queries
 from clausula.llm.common import crc_bucket
@@ -84,6 +85,26 @@ def test_registered_query_keeps_what_is_seen_once(spark, tmp_path):
         assert g[:4] == w[:4] and abs(g[5] - w[5]) < 5e-5 * w[1] + 1e-9
 
 
+def test_segments_opened_once_a_round_by_any_number_of_batches(spark, tmp_path, monkeypatch):
+    opened, segment = f"{tmp_path}/opened", eftrie.Trie.segment
+
+    def noted(self, part):
+        with open(opened, "a") as out:
+            out.write(f"{part}\n")
+        return segment(self, part)
+
+    monkeypatch.setattr(eftrie.Trie, "segment", noted)
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in corpus()], SCHEMA).repartition(3)
+    cloudpickle.register_pickle_by_value(eftrie)  # so that workers have it with `noted`
+    try:
+        rows = eftrie.model_scores(frame, crc_bucket("doc_id", 10) == 0, settings=eftrie.Settings(chunk_bytes=500, tokens_per_part=2000)).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(eftrie)
+    with open(opened) as lines:
+        times = Counter(lines)
+    assert len(rows) == len(corpus()) and len(times) > 3 and max(times.values()) <= 3
+
+
 def test_no_training_and_empty(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert eftrie.model_scores(frame, crc_bucket("doc_id", 10) == 0).collect() == []
